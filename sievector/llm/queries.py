@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sievector.llm import rules
+from sievector.llm import rules, subwords
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -21,8 +22,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    """Vocabulary files come with the public_tokenizers package of every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.judge(documents(spark, sf_dir))
     votes = [c for c in out.columns if c.startswith("v_")]
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior", *votes)
+
+
+@query
+def op1_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = subwords.encode(documents(spark, sf_dir), vocabulary_path())
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2(F.col("ids"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
