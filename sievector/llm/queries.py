@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievector.llm import packing, rules, subwords
+from sievector.llm import licenses, packing, rules, subwords
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -50,3 +50,24 @@ def op1_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary_path())
+
+
+@query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.filter("spans", lambda s: s["base"])
+    labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    starts = F.transform("base", lambda s: s["first"])
+    return (
+        licenses.scan(documents(spark, sf_dir))
+        .withColumn("base", base)
+        .select(
+            "doc_id",
+            "n_words",
+            F.size("base").cast("long").alias("n_base"),
+            F.array_min(starts).alias("first_word"),
+            F.array_max(starts).alias("last_word"),
+            labels(F.col("base")).alias("base_labels"),
+            labels(F.col("spans")).alias("labels"),
+            F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0)).alias("score"),
+        )
+    )
