@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievector.llm import fingerprints, licenses, packing, rules, subwords
+from sievector.llm import fingerprints, licenses, packing, quality, rules, subwords
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -76,3 +76,9 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_cws_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(documents(spark, sf_dir))
+
+
+@query
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality.classify(documents(spark, sf_dir), labels).select("doc_id", "held_out", "score", "predicted")
