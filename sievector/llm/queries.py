@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievector.llm import fingerprints, licenses, packing, quality, rules, subwords
+from sievector.llm import fingerprints, licenses, neardup, packing, quality, rules, subwords
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -82,3 +82,10 @@ def op8_cws_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     return quality.classify(documents(spark, sf_dir), labels).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.components(documents(spark, sf_dir), width=3, percent=85, bands=32, rows=5)
+    kept = F.coalesce(F.col("key") == F.col("component"), F.col("rid") == F.col("keeper"))
+    return found.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
