@@ -102,7 +102,7 @@ def cut(docs: DataFrame, vocabulary_path: str, capacity: int, end_id: int, key:
     mark = end_id.to_bytes(4, "little")
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(("pack", vocabulary_path), lambda: Encoder(Vocabulary(*shared.value)))
+        encoder = encoder_of(("pack", vocabulary_path), lambda: Encoder(Vocabulary(*shared.value), library=True))
         for batch in pieces(batches):
             rows, at = [], []
             for i, ids in enumerate(encoder.encode(texts_of(batch))):

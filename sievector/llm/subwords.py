@@ -11,12 +11,14 @@ text column and the key are read.
 from __future__ import annotations
 
 import json
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +30,8 @@ from sievector.plans.staging import fresh_path
 #: The splitting pattern of the byte-level vocabulary; a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Parts and words that a worker remembers, and the longest part that it does.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 400_000, 64
+_NO_MERGE = (1 << 60, 0)
 
 
 def byte_letters() -> dict[str, int]:
@@ -67,21 +70,21 @@ class Vocabulary:
         """Ids of one word: the adjacent pair of lowest rank is joined until none is left; of equal
         pairs the leftmost goes first."""
         ids = [self.letters[b] for b in word]
-        find, none = self.ranks.get, (1 << 60, 0)
         if len(ids) > 64:
             return self._merge_long(ids)
+        find, none = self.ranks.get, _NO_MERGE
         pairs = [find(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
         while pairs:
             best = min(pairs)
             if best is none:
                 break
             at = pairs.index(best)
-            ids[at : at + 2] = [best[1]]
-            del pairs[at]
+            new = ids[at] = best[1]
+            del ids[at + 1], pairs[at]
             if at:
-                pairs[at - 1] = find(ids[at - 1] << 20 | ids[at], none)
+                pairs[at - 1] = find(ids[at - 1] << 20 | new, none)
             if at < len(pairs):
-                pairs[at] = find(ids[at] << 20 | ids[at + 1], none)
+                pairs[at] = find(new << 20 | ids[at + 1], none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -110,8 +113,15 @@ class Vocabulary:
 class Encoder:
     """Encodes texts to little-endian 32-bit ids; remembers parts between batches."""
 
-    def __init__(self, vocabulary: Vocabulary, mapped: lexicon.Lexicon | None = None):
+    def __init__(self, vocabulary: Vocabulary, mapped: lexicon.Lexicon | None = None, library: bool = False):
+        """``library``: merge words by a compiled library of the same vocabulary, where the automaton isn't the point."""
         self.vocabulary, self.mapped = vocabulary, mapped
+        self.merge = vocabulary.merge
+        if library:
+            known = set(vocabulary.special.values())
+            ranks = {t: i for i, t in enumerate(vocabulary.tokens) if i not in known}
+            whole = tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+            self.merge = lambda b: whole.encode_ordinary(b.decode())
         self.split = regex.compile(PATTERN).findall
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
@@ -141,14 +151,15 @@ class Encoder:
         if max(len(self.first), len(self.later), len(self.words)) > REMEMBERED:
             self.first, self.later, self.words = {}, {}, {}
         cut, new, heads = [], set(), set()
+        later = self.later
         for text in texts:
             head, *rest = text.split(" ")
-            unseen = {*rest} - self.later.keys()
+            unseen = [p for p in {*rest} if p not in later]
             if any(not p or p[0].isspace() for p in unseen):
                 head, rest = self._joined(head, rest)
-                unseen = {*rest} - self.later.keys()
+                unseen = [p for p in rest if p not in later]
             cut.append((head, rest))
-            new |= unseen
+            new.update(unseen)
             if head not in self.first:
                 heads.add(head)
         split = self.split
@@ -192,7 +203,7 @@ class Encoder:
         raw = [w.encode() for w in new]
         places = self.mapped.places(raw).tolist() if self.mapped else [-1] * len(raw)
         for w, b, place in zip(new, raw, places):
-            self.words[w] = self.mapped.ids(place).tobytes() if place >= 0 else b"".join(i.to_bytes(4, "little") for i in self.vocabulary.merge(b))
+            self.words[w] = self.mapped.ids(place).tobytes() if place >= 0 else array("I", self.merge(b)).tobytes()
 
     def decode(self, ids: bytes) -> str:
         tokens = self.vocabulary.tokens
