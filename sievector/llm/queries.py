@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievector.llm import fingerprints, licenses, neardup, packing, quality, rules, subwords
+from sievector.llm import fingerprints, licenses, neardup, packing, quality, rules, scoring, subwords
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -89,3 +89,10 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.components(documents(spark, sf_dir), width=3, percent=85, bands=32, rows=5)
     kept = F.coalesce(F.col("key") == F.col("component"), F.col("rid") == F.col("keeper"))
     return found.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
+
+
+@query
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(10))
+    out = scoring.score(documents(spark, sf_dir), vocabulary_path(), remainder != 0)
+    return out.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
