@@ -1,17 +1,23 @@
 """Corpus pipeline: quality classifier, quality rules, near-duplicate removal, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet into the
-shared folder and gives the rows read back to the next stage.
+shared folder and gives the rows read back to the next stage.  All but the last keep the columns of
+``documents``.  Rows are judged one by one, so repeated or null ids neither multiply nor vanish in joins.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievector.llm import rules
+from sievector.llm import neardup, packing, quality, rules
+from sievector.llm.queries import vocabulary_path
 from sievector.plans.staging import stage
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is 0.7 or more."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality.keep(docs, labels)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +25,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rules.keep(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts that share 0.8 of their five-word shingles."""
+    return neardup.keep(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 2048 ids."""
+    return packing.pack(docs, vocabulary_path())
+
+
+STAGES = [("quality_classifier", quality_classifier), ("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("packing", pack)]
 
 #: The classifier, the vote model and the packing are iterative; tests hold them against brute force.
 ORACLE_SQL = None

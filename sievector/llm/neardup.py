@@ -245,3 +245,20 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
         F.when(F.col("best").isNull(), F.col("key")).otherwise(F.col("best.key")).alias("component"),
         F.coalesce("best.rid", "rid").alias("keeper"),
     )
+
+
+def keep(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
+    """The rows of ``docs`` that stand for their group, with all their columns.
+
+    Rows go back to documents by key and text; of rows that repeat both, the table has one.
+    """
+    found = components(docs, key=key, **how)
+    stay = found.where("rid = keeper").select(F.col("key").alias("__key"), F.col("mark").alias("__mark")).distinct()
+    same = F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__mark"))
+    out = docs.join(stay, same).drop("__key", "__mark")
+    return out.dropDuplicates([key, "text"]) if _repeats(found) else out
+
+
+def _repeats(found: DataFrame) -> bool:
+    """Whether any (key, text) stands in more than one row."""
+    return bool(found.groupBy("key", "mark").count().where("count > 1").limit(1).count())

@@ -169,3 +169,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, carry:
     seen = measured(docs, list(dict.fromkeys(["doc_id", *(carry or [])])))
     out = scored(seen, *fit(seen, labels)).select("row.*", "score")
     return out.withColumns({"held_out": remainder() == 2, "predicted": (F.col("score") >= threshold).cast("int")})
+
+
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` with a score of ``threshold`` or more, with all their columns."""
+    seen = measured(docs, docs.columns)
+    return scored(seen, *fit(seen, labels)).where(F.col("score") >= threshold).select("row.*")

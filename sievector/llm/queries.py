@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievector.llm import fingerprints, licenses, neardup, packing, quality, rules, scoring, subwords
+from sievector.llm import fingerprints, licenses, neardup, packing, quality, rules, scoring, subwords, training_order, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -96,3 +96,15 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     remainder = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(10))
     out = scoring.score(documents(spark, sf_dir), vocabulary_path(), remainder != 0)
     return out.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.derivatives(pages).select("page_id", "record_type", "record_id", "refers_to", "target_uri", "payload_digest", "block_digest", "n_links", F.length("block").cast("long").alias("n_chars"), F.col("block").alias("text"))
+
+
+@query
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = training_order.materialise(documents(spark, sf_dir), vocabulary_path())
+    return out.select("doc_id", "part", F.col("n").alias("n_tokens"), "slot", "shard", "offset", "ids_crc32")
