@@ -1 +1 @@
-
+"""Search, evaluation, encoding, profiling and graph operators."""

@@ -1 +1 @@
-
+"""Logical plans: registered queries, staging, iterative joins."""

@@ -1 +1 @@
-
+"""Readers and writers of vectors, metadata, manifests and results."""
