@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sievector.llm.attention import Counts, Model, Windows
 from sievector.llm.batches import arrow_map, pieces, texts_of
-from sievector.llm.subwords import REMEMBERED, Vocabulary
+from sievector.llm.subwords import REMEMBERED, Vocabulary, frequent
 from sievector.plans.staging import stage
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -165,7 +165,7 @@ def score(
     below = np.log10(total + ADD * (distinct + 1))
     chosen = learned.orderBy(F.xxhash64("text"), "key").limit(train_documents).select("text").collect()
     model, number, log_rare = fit(raw, [r["text"] for r in chosen], vocabulary_path, shared, end, size, n_classes, train_windows)
-    top = {bytes(r["word"]): r["c"] for r in counts.orderBy(F.desc("c"), "word").limit(broadcast_words).collect()}
+    top = {bytes(r["word"]): r["c"] for r in frequent(counts, "c", broadcast_words).collect()}
     known = spark.sparkContext.broadcast((model, number, (log_rare / np.log(10)), {w: float(np.log10(c + ADD) - below) for w, c in top.items()}))
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

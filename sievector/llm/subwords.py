@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sievector.llm import lexicon
 from sievector.llm.batches import arrow_map, pieces, texts_of
-from sievector.plans.staging import fresh_path
+from sievector.plans.staging import fresh_path, stage
 
 #: The splitting pattern of the byte-level vocabulary; a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -264,9 +264,24 @@ def put_file(spark: SparkSession, data: bytes, tag: str) -> str:
     return path.rsplit("/", 1)[1]
 
 
+def frequent(counts: DataFrame, n: str, size: int) -> DataFrame:
+    """The most frequent rows of ``counts``, at most ``size`` of them.
+
+    The histogram of the counts (its rows grow with the root of the corpus at most) gives the least count that fits, so no
+    task sends more than the rows that are kept; counts that tie at the edge stay out together.
+    """
+    least, held = 0, 0
+    for r in sorted(counts.groupBy(F.col(n).alias("n")).agg(F.count("*").alias("rows")).collect(), reverse=True):
+        held += r["rows"]
+        if held > size:
+            break
+        least = r["n"]
+    return counts.where(F.col(n) >= least) if least else counts.limit(0)
+
+
 def compile_lexicon(spark: SparkSession, counts: DataFrame, vocabulary: Vocabulary, size: int) -> str:
-    """The automaton of the ``size`` most frequent words (ties by word), as a file on all executors."""
-    top = counts.orderBy(F.desc("n"), "word").limit(size).collect()
+    """The automaton of the most frequent words, at most ``size``, as a file on all executors."""
+    top = frequent(stage(counts, "words"), "n", size).collect()
     entries = {r["word"].encode(): vocabulary.merge(r["word"].encode()) for r in top}
     return put_file(spark, lexicon.to_bytes(lexicon.build(entries)), "lexicon")
 
