@@ -59,11 +59,11 @@ def read_csv(spark: SparkSession, path: str, fields: list[str], id_column: str,
 
     Names and values are trimmed, a byte-order mark is skipped, only asked-for fields are kept (an error if
     none exists); an id that is no number is invalid, one of ``num_labels`` or more is dropped, and of rows
-    with one id the later wins.  An empty value is present.
+    with one id the later wins.  An empty value is present, and so is one that a short row lacks.
     """
     raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=False, emptyValue="", nullValue="\x00", encoding="UTF-8")
     names = {c: c.lstrip("﻿").strip() for c in raw.columns}
-    raw = raw.select(*[F.trim(F.col(f"`{c}`")).alias(n) for c, n in names.items()])
+    raw = raw.select(*[F.coalesce(F.trim(F.col(f"`{c}`")), F.lit("")).alias(n) for c, n in names.items()])
     kept = [f for f in fields if f in raw.columns]
     if id_column not in raw.columns or not kept:
         raise ValueError(f"{path} has no column {id_column!r} or none of {fields}")
