@@ -131,7 +131,7 @@ class Model:
         out[windows.rows[:, BEFORE + 1 :] == windows.filler] = 0
         return out
 
-    def train(self, rows: np.ndarray, epochs: int = 4, batch: int = 64, rate: float = 0.01, seed: int = 9) -> None:
+    def train(self, rows: np.ndarray, epochs: int = 4, batch: int = 64, rate: float = 0.02, seed: int = 9) -> None:
         """Adam on the class likelihood; the counts stay as they are."""
         rng = np.random.default_rng(seed)
         w = self.weights

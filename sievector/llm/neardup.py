@@ -253,12 +253,10 @@ def keep(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
     Rows go back to documents by key and text; of rows that repeat both, the table has one.
     """
     found = components(docs, key=key, **how)
-    stay = found.where("rid = keeper").select(F.col("key").alias("__key"), F.col("mark").alias("__mark")).distinct()
-    same = F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__mark"))
-    out = docs.join(stay, same).drop("__key", "__mark")
-    return out.dropDuplicates([key, "text"]) if _repeats(found) else out
-
-
-def _repeats(found: DataFrame) -> bool:
-    """Whether any (key, text) stands in more than one row."""
-    return bool(found.groupBy("key", "mark").count().where("count > 1").limit(1).count())
+    stay = found.where("rid = keeper").select(F.col("key").alias("to_key"), F.col("mark").alias("to_mark")).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col(key).alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
+    out = rows.join(stay, F.col("key").eqNullSafe(F.col("to_key")) & (F.col("mark") == F.col("to_mark")))
+    if found.groupBy("key", "mark").count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates(["key", "mark"])
+    return out.select("row.*")

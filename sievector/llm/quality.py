@@ -142,9 +142,18 @@ def fit(seen: DataFrame, labels: DataFrame, max_positive: int = 8000, max_unlabe
     by = {r["good"]: r["count"] for r in marks.groupBy("good").count().collect()}
     good, all_marked = by.get(True, 0), sum(by.values())
     prior = (good + 1) / (all_marked + 2)
-    order = [F.xxhash64(F.col("x"), F.lit(11)), F.col("doc_id")]
-    trusted = ids.join(marks.where("good"), "doc_id").orderBy(*order).limit(max_positive)
-    web = ids.orderBy(*order).limit(max_unlabelled)
+    rows = seen.count()
+
+    def chosen(df: DataFrame, size: int, of: int) -> DataFrame:
+        """The ``size`` rows of least hash.  A cut at twice the share that is needed leaves so few rows
+        that tasks don't each send ``size`` of them to the driver."""
+        place = F.xxhash64(F.col("x"), F.lit(11))
+        if of > 4 * size:
+            df = df.where(F.pmod(place, F.lit(1 << 30)) < max(1, 2 * size * (1 << 30) // of))
+        return df.orderBy(F.pmod(place, F.lit(1 << 30)), place, "doc_id").limit(size)
+
+    trusted = chosen(ids.join(marks.where("good"), "doc_id"), max_positive, good)
+    web = chosen(ids, max_unlabelled, rows)
     p, u = (np.array([r["x"] for r in d.select("x").collect()], np.float64).reshape(-1, STATISTICS) for d in (trusted, web))
     if not len(p) or not len(u):
         return None, prior

@@ -147,8 +147,8 @@ def score(
     size: int = 2048,
     n_classes: int = 64,
     broadcast_words: int = 40_000,
-    train_documents: int = 400,
-    train_windows: int = 8000,
+    train_documents: int = 600,
+    train_windows: int = 20000,
 ) -> DataFrame:
     """(key, training, n_tokens, n_known, train_tokens, base_score, score) of every row; scores are base-10 logarithms."""
     spark = docs.sparkSession
