@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -63,3 +63,30 @@ def chunk_size(n_bytes: int) -> int:
     while size < n_bytes / 8 and size < 2 << 20:
         size *= 2
     return size
+
+
+def fnv1a(text: Column) -> Column:
+    """64-bit FNV-1a of a text's bytes, as a signed integer.
+
+    The prime is 2 ** 40 + 435, so the product is a shift and a sum of halves that can't overflow."""
+    pairs = F.filter(F.split(F.hex(F.encode(text, "UTF-8")), r"(?<=\G..)"), lambda x: x != "")
+    codes = F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("long"))
+    word = F.lit(0xFFFFFFFF)
+
+    def step(h: Column, b: Column) -> Column:
+        mixed = h.bitwiseXOR(b)
+        low, high = mixed.bitwiseAND(word), F.shiftrightunsigned(mixed, 32)
+        upper = (high * 435 + F.shiftrightunsigned(low * 435, 32) + F.shiftleft(low, 8)).bitwiseAND(word)
+        return F.shiftleft(upper, 32).bitwiseOR((low * 435).bitwiseAND(word))
+
+    return F.aggregate(codes, F.lit(0xCBF29CE484222325 - (1 << 64)).cast("long"), step)
+
+
+def fill_bins(rows: DataFrame, size: str, value: str) -> DataFrame:
+    """Missing values of a binned series by linear interpolation between the nearest present bins."""
+    before, after = Window.orderBy(size).rowsBetween(Window.unboundedPreceding, 0), Window.orderBy(size).rowsBetween(0, Window.unboundedFollowing)
+    point = F.when(F.col(value).isNotNull(), F.struct(F.col(size).cast("double").alias("x"), F.col(value).alias("y")))
+    ends = rows.withColumns({"__a": F.last(point, ignorenulls=True).over(before), "__b": F.first(point, ignorenulls=True).over(after)})
+    slope = F.try_divide(F.col("__b.y") - F.col("__a.y"), F.col("__b.x") - F.col("__a.x"))
+    made = F.coalesce(F.col(value), F.col("__a.y") + slope * (F.col(size) - F.col("__a.x")), F.col("__a.y"), F.col("__b.y"))
+    return ends.withColumn(value, made).drop("__a", "__b")

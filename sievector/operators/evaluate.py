@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievector.functions.scalars import pow2_bin, share
@@ -73,3 +73,10 @@ def method_deltas(results: DataFrame, old: str, new: str) -> DataFrame:
     return pairs.groupBy("selectivity").agg(
         F.avg("gain").alias("mean_gain"), F.median("gain").alias("median_gain"), F.max("gain").alias("best_gain"), F.min("gain").alias("worst_gain"), F.max_by("ef", F.struct("gain", "ef")).alias("best_ef"), F.min_by("ef", F.struct("gain", "ef")).alias("worst_ef")
     )
+
+
+def series(runs: DataFrame) -> DataFrame:
+    """Points of QPS-over-recall curves: good, finite runs, numbered by recall within method and selectivity."""
+    good = runs.where((F.col("status") == "OK") & F.col("qps").isNotNull() & (F.abs("qps") < F.lit(float("inf"))) & F.col("recall").isNotNull())
+    order = Window.partitionBy("method", "selectivity").orderBy("recall", "qps")
+    return good.select("method", "selectivity", "recall", "qps", F.row_number().over(order).alias("place"))

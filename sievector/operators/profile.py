@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,3 +74,45 @@ def graph_bytes(n: Column, m: int) -> Column:
 def zone(wait: Column, dist: Column, lz4: Column) -> Column:
     """Where a wait falls: hidden by distance work, by distance and decompression, or exposed."""
     return F.when(wait <= dist, F.lit("hidden")).when(wait <= dist + lz4, F.lit("partly")).otherwise(F.lit("exposed"))
+
+
+def condition(text: Column, rule: str) -> Column:
+    """A test of a JSON text: ``KEY=VALUE`` with a value of its JSON type, or ``KEY=MIN:MAX`` with either end open.
+
+    Keys may be dotted."""
+    key, _, value = rule.partition("=")
+    path = "$." + key
+    if ":" in value and not value.startswith('"'):
+        low, _, high = value.partition(":")
+        x = json_field(text, path, "double")
+        test = x.isNotNull()
+        test = test & (x >= float(low)) if low else test
+        return test & (x <= float(high)) if high else test
+    try:
+        typed = json.loads(value)
+    except ValueError:
+        typed = value
+    if isinstance(typed, bool):
+        return json_field(text, path, "boolean") == typed
+    return json_field(text, path, "double") == float(typed) if isinstance(typed, int | float) else json_field(text, path) == str(typed)
+
+
+def parse_profile(lines: DataFrame) -> DataFrame:
+    """(attr, unique_count) of a printed profile whose lines read ``field: NAME unique: COUNT``."""
+    pattern = r"field:\s*(\S+)\s+unique:\s*(\d+)"
+    kept = lines.where(F.col("value").rlike(pattern))
+    return kept.select(F.regexp_extract("value", pattern, 1).alias("attr"), F.regexp_extract("value", pattern, 2).cast("long").alias("unique_count"))
+
+
+def synthetic(spark: SparkSession, n: int, seed: int) -> DataFrame:
+    """(id, number, country, symbol): even numbers 0..255, country names, and symbols 1..16 with Zipf weights."""
+    draw = lambda k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    names = F.array(*[F.lit(x) for x in ("Brazil", "Chile", "France", "India", "Japan", "Kenya", "Norway", "Spain")])
+    total, edges, held = sum(1 / i for i in range(1, 17)), [], 0.0
+    for i in range(1, 17):
+        held += 1 / i / total
+        edges.append(held)
+    symbol = F.lit(16)
+    for i in range(15, 0, -1):
+        symbol = F.when(draw(3) < edges[i - 1], F.lit(i)).otherwise(symbol)
+    return spark.range(n).select("id", F.floor(draw(1) * 256).cast("int").alias("number"), F.get(names, F.floor(draw(2) * 8).cast("int")).alias("country"), symbol.alias("symbol"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievector.functions import scalars
 from sievector.functions.filters import Attribute, Between, allowed_buckets, bucket_column, numeric_value, parse, to_column
-from sievector.operators import encode, evaluate, graph, profile, search
+from sievector.operators import encode, evaluate, graph, ivf, profile, search
 from sievector.plans.staging import stage
 from sievector.sources.sinks import topk_lines
 
@@ -591,8 +591,57 @@ def tb_with_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, buckets = _graph(spark, sf_dir)
     alone = stage(graph.isolated(edges, buckets), "isolated")
     _, paths = graph.first_same_bucket(edges, buckets, alone, 3, 3)
-    walked = paths.join(alone.withColumnRenamed("node_id", "start"), "start").select(F.col("node").alias("node_id"), "bucket")
-    return graph.bits(buckets, walked, n_buckets=256)
+    return graph.bits(buckets, paths.select(F.col("node").alias("node_id"), "bucket"), n_buckets=256)
+
+
+@query()
+def tb_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits of all three kinds of paths: from isolated nodes, between a bucket's clusters, from entry points."""
+    edges, buckets = _graph(spark, sf_dir)
+    _, paths = graph.first_same_bucket(edges, buckets, graph.isolated(edges, buckets), 3, 3)
+    tree = graph.connecting_tree(edges, graph.bucket_components(edges, buckets), 1, 3)
+    entries = graph.entry_paths(edges, buckets, buckets.where("vec_id % 100 = 0").select(F.col("vec_id").alias("node_id")), 1, 3)
+    return graph.bits(buckets, paths.select(F.col("node").alias("node_id"), "bucket"), tree, entries, n_buckets=256)
+
+
+@query(f"WITH {GRAPH} SELECT count(*) AS links, CAST(0 AS BIGINT) AS dangling, CAST(0 AS BIGINT) AS loops, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS too_wide FROM g")
+def graph_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, buckets = _graph(spark, sf_dir)
+    return graph.integrity(edges, buckets, M)
+
+
+@query()
+def pruned_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbour lists after the selection heuristic."""
+    edges, _ = _graph(spark, sf_dir)
+    return graph.select_neighbours(edges, vectors(spark, sf_dir), 6)
+
+
+@query()
+def ivf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate filtered search over the cells nearest to each query."""
+    base = vectors(spark, sf_dir)
+    centroids = ivf.train(base, 16)
+    cells = stage(ivf.assign(base, centroids), "cells")
+    return shown(ivf.search_cells(cells, query_set(base), centroids, K, 8, "label < 5"))
+
+
+@query(
+    """WITH g AS (SELECT l_suppkey AS method, l_linenumber AS selectivity, round(avg(l_discount), 9) AS recall, round(avg(l_quantity), 6) AS qps FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)
+SELECT method, selectivity, recall, qps, row_number() OVER (PARTITION BY method, selectivity ORDER BY recall, qps) AS place FROM g WHERE isfinite(qps)"""
+)
+def qps_recall_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("method"), F.col("l_linenumber").alias("selectivity"), F.when(F.col("l_returnflag") == "R", F.lit("OK")).otherwise(F.lit("FAILED")).alias("status"))
+    runs = lines.agg(F.round(F.avg("l_discount"), 9).alias("recall"), F.round(F.avg("l_quantity"), 6).alias("qps"))
+    return evaluate.series(runs).withColumn("place", F.col("place").cast("long"))
+
+
+@query("SELECT event_type, CAST(sum(length(event_type) * 0 + 1) AS BIGINT) AS n FROM events WHERE json_extract_string(props, '$.k') = '5' OR CAST(json_extract_string(props, '$.k') AS DOUBLE) BETWEEN 90 AND 95 GROUP BY 1")
+def json_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditions as KEY=VALUE and KEY=MIN:MAX on JSON texts."""
+    events = table(spark, sf_dir, "events")
+    test = profile.condition(F.col("props"), "k=5") | profile.condition(F.col("props"), "k=90:95")
+    return events.where(test).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query("SELECT bucket, nth, node_id FROM (SELECT label AS bucket, vec_id AS node_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS nth FROM embeddings) WHERE nth <= 4")

@@ -90,7 +90,7 @@ def test_graph_invariants(base):
     assert alone.join(near, ["node_id", "bucket"]).count() == 0
     targets, paths = graph.first_same_bucket(edges, buckets, alone, 2, 3)
     assert targets.join(paths, (targets["start"] == paths["start"]) & (targets["target"] == paths["node"]), "left_anti").count() == 0
-    held = graph.bits(buckets, paths.join(alone.withColumnRenamed("node_id", "start"), "start").select(F.col("node").alias("node_id"), "bucket"), n_buckets=8)
+    held = graph.bits(buckets, paths.select(F.col("node").alias("node_id"), "bucket"), n_buckets=8)
     assert held.where("bucket >= 8").count() == 0
     assert graph.by_bucket(held).agg(F.sum("n")).first()[0] == held.count()
     assert graph.terminals(buckets.select(F.col("vec_id").alias("node_id"), F.col("bucket").alias("cluster")), 3, 1).groupBy("cluster").count().where("count > 3").count() == 0
@@ -143,3 +143,55 @@ def test_flatten(spark):
     df = spark.sql("select named_struct('a', 1, 'b', named_struct('c', array(1, 2))) as x, 'y' as z")
     flat = df.select(*profile.flatten(df.schema))
     assert flat.columns == ["x.a", "x.b.c", "z"] and tuple(flat.first()) == ("1", "[1,2]", "y")
+
+
+def test_connecting_tree(spark):
+    """Two clusters of bucket 1 on a path through bucket 0, and a cluster of bucket 2 with nothing to join."""
+    path = [(i, i + 1) for i in range(6)]
+    edges = spark.createDataFrame([(a, b) for x in path for a, b in (x, x[::-1])], "src long, dst long")
+    marks = {0: 1, 1: 1, 2: 0, 3: 0, 4: 0, 5: 1, 6: 2}
+    buckets = spark.createDataFrame(sorted(marks.items()), "vec_id long, bucket int")
+    clusters = graph.bucket_components(edges, buckets)
+    assert rows(clusters.where("bucket = 1"), "node_id", "component") == [(0, 0), (1, 0), (5, 5)]
+    tree = {r["node_id"] for r in graph.connecting_tree(edges, clusters, 2, 6).where("bucket = 1").collect()}
+    assert {2, 3, 4, 5} <= tree and 6 not in tree
+    joined = graph.bucket_components(edges, buckets, graph.bits(buckets, graph.connecting_tree(edges, clusters, 2, 6), n_buckets=256))
+    assert {r["component"] for r in joined.where("bucket = 1").collect()} == {0}
+    entry = spark.createDataFrame([(3,)], "node_id long")
+    reached = {b for b, n in rows(graph.entry_paths(edges, buckets, entry, 1, 6), "bucket", "node_id") if marks[n] == b}
+    assert reached == {0, 1, 2}
+
+
+def test_heuristic_and_integrity(base):
+    edges = graph.knn_graph(base, 8)
+    kept = graph.select_neighbours(edges, base, 4)
+    assert kept.groupBy("src").count().where("count > 4").count() == 0
+    assert kept.where("pos = 1").join(edges.where("pos = 1"), ["src", "dst"]).count() == base.count()
+    assert tuple(graph.integrity(edges, base, 8).first()) == (8 * base.count(), 0, 0, 0, 0)
+
+
+def test_cells(base):
+    from sievector.operators import ivf
+
+    centroids = ivf.train(base, 12)
+    cells = ivf.assign(base, centroids).cache()
+    q = queries(base)
+    exact = search.knn(base, q, 10, "label < 5")
+    assert rows(ivf.search_cells(cells, q, centroids, 10, 12, "label < 5"), "query_id", "rank", "vec_id") == rows(exact, "query_id", "rank", "vec_id")
+    some = ivf.search_cells(cells, q, centroids, 10, 9, "label < 5")
+    assert evaluate.recall_summary(evaluate.recall(some, exact, q, 10), 10).first()["avg_recall"] > 0.8
+
+
+def test_small_helpers(spark):
+    from sievector.functions import scalars
+
+    r = spark.sql("select 'a' as t, 12345678901 as n, 5 as v").select(scalars.fnv1a(F.col("t")).alias("h"), scalars.block_hash(F.col("n"), 97).alias("b"), scalars.pow2_bin(F.col("v")).alias("p")).first()
+    assert r["h"] == 0xAF63DC4C8601EC8C - (1 << 64) and r["b"] == 12345678901 * 2654435761 % 97 and r["p"] == 8
+    bins = spark.createDataFrame([(1, 10.0), (4, 40.0), (16, None), (64, 640.0)], "bin long, v double")
+    assert rows(scalars.fill_bins(bins, "bin", "v"), "bin", "v") == [(1, 10.0), (4, 40.0), (16, 160.0), (64, 640.0)]
+    text = spark.createDataFrame([("  field: a  unique: 3",), ("  values: x, y, z",), ("noise",)], "value string")
+    assert rows(profile.parse_profile(text), "attr", "unique_count") == [("a", 3)]
+    made = profile.synthetic(spark, 1000, 7)
+    assert made.count() == 1000 and made.where("symbol not between 1 and 16 or number not between 0 and 255").count() == 0
+    top = made.groupBy("symbol").count().orderBy(F.desc("count")).first()
+    assert top["symbol"] == 1 and rows(made, "id", "symbol") == rows(profile.synthetic(spark, 1000, 7), "id", "symbol")
