@@ -34,7 +34,7 @@ def weighted_terms(text: Column) -> Column:
     return bound(F.sort_array(hashes), runs)
 
 
-def sample(term: Column, weight: Column, k: int) -> Column:
+def sample(term: Column, log_weight: Column, k: int) -> Column:
     """The logarithm whose least value over all terms is coordinate ``k``."""
     z = F.xxhash64(term, F.lit(k))
 
@@ -45,7 +45,7 @@ def sample(term: Column, weight: Column, k: int) -> Column:
     r = -F.log(uniform(0, 13) * uniform(13, 13))
     log_c = F.log(-F.log(uniform(26, 13) * uniform(39, 13)))
     b = uniform(52, 12)
-    t = F.floor(F.log(weight.cast("double")) / r + b)
+    t = F.floor(log_weight / r + b)
     return log_c - r * (t.cast("double") - b + F.lit(1.0))
 
 
@@ -54,8 +54,8 @@ def signatures(texts: DataFrame, keys: list[str], text: str = "text", coordinate
 
     A text's terms stay in its task: they are reduced to one row before the shuffle.
     """
-    terms = texts.select(*keys, F.explode_outer(weighted_terms(F.col(text))).alias("x")).select(*keys, "x.term", "x.weight")
-    least = terms.groupBy(*keys).agg(*[F.min(sample(F.col("term"), F.col("weight"), k)).alias(f"s{k}") for k in range(coordinates)])
+    terms = texts.select(*keys, F.explode_outer(weighted_terms(F.col(text))).alias("x")).select(*keys, "x.term", F.log(F.col("x.weight").cast("double")).alias("log_weight"))
+    least = terms.groupBy(*keys).agg(*[F.min(sample(F.col("term"), F.col("log_weight"), k)).alias(f"s{k}") for k in range(coordinates)])
     marks = [F.when(F.col(f"s{k}").isNotNull(), F.hash(F.col(f"s{k}"))) for k in range(coordinates)]
     return least.select(*keys, F.array(*marks).alias("signature"))
 
@@ -72,51 +72,53 @@ def likeness(a: Column, b: Column) -> Column:
     return same.cast("double") / F.size(a).cast("double")
 
 
-def in_order(docs: DataFrame) -> DataFrame:
-    """Each distinct (doc_id, mark, n_chars) with the next one in ascending order.
+def in_order(keyed: DataFrame) -> DataFrame:
+    """Each distinct (doc_id, a, b, n_chars) with ``next_a`` and ``next_b`` of the next one in ascending order.
 
     Only ids and hashes are sorted.  Rows are numbered within range partitions; the first and last
     number of each partition, one row a partition, link the partitions into a ring.
     """
-    spark = docs.sparkSession
-    ids = docs.select("doc_id", "mark", "n_chars").distinct()
-    ranged = ids.repartitionByRange(F.col("doc_id").asc_nulls_first(), "mark").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "mark")
+    spark = keyed.sparkSession
+    ids = keyed.select("doc_id", "a", "b", "n_chars").distinct()
+    ranged = ids.repartitionByRange(F.col("doc_id").asc_nulls_first(), "b").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "b")
     rows = stage(ranged.withColumn("rid", F.monotonically_increasing_id()), "order")
     ends = sorted(tuple(r) for r in rows.groupBy(F.shiftright("rid", 33)).agg(F.min("rid"), F.max("rid")).collect())
     if not ends:
-        return rows.selectExpr("doc_id", "mark", "n_chars", "doc_id next_doc_id", "mark next_mark")
+        return rows.selectExpr("doc_id", "a", "b", "n_chars", "a next_a", "b next_b")
     pairs = [(last, ends[(i + 1) % len(ends)][1]) for i, (_, _, last) in enumerate(ends)]
     jumps = F.broadcast(spark.createDataFrame(pairs, "rid long, jump long"))
     linked = rows.join(jumps, "rid", "left").withColumn("next_rid", F.coalesce("jump", F.col("rid") + 1)).drop("jump")
-    other = rows.select(F.col("rid").alias("next_rid"), F.col("doc_id").alias("next_doc_id"), F.col("mark").alias("next_mark"))
-    return stage(linked.join(other, "next_rid").select("doc_id", "mark", "n_chars", "next_doc_id", "next_mark"), "neighbours")
+    other = rows.select(F.col("rid").alias("next_rid"), F.col("a").alias("next_a"), F.col("b").alias("next_b"))
+    return stage(linked.join(other, "next_rid").select("doc_id", "a", "b", "n_chars", "next_a", "next_b"), "neighbours")
 
 
 def fingerprint(docs: DataFrame, coordinates: int = COORDINATES) -> DataFrame:
     """Per document its fingerprint, that of its edited text, and their likenesses.
 
     The edited text has its last quarter replaced by as many first characters of the next document.
+    Documents go by two hashes, ``a`` of the id and ``b`` of the text.  Both joins on texts read the same
+    columns by the same keys, so texts are shuffled once.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.select("doc_id", F.xxhash64("text").alias("mark"), F.length("text").cast("long").alias("n_chars"), "text")
-    order = in_order(texts)
-    same = lambda a, b, pre="": a["doc_id"].eqNullSafe(b[f"{pre}doc_id"]) & (a["mark"] == b[f"{pre}mark"])
+    keyed = texts.select("doc_id", F.xxhash64("doc_id").alias("a"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("b"), F.length("text").cast("long").alias("n_chars"), "text")
+    order = in_order(keyed)
+    body = keyed.select("a", "b", "text")
 
     # The start that each document lends to the one before it: a quarter of that one's length.
-    lent = order.select(F.col("next_doc_id").alias("doc_id"), F.col("next_mark").alias("mark"), F.floor(F.col("n_chars") / 4).cast("int").alias("lent"), F.col("doc_id").alias("to_doc_id"), F.col("mark").alias("to_mark"))
-    starts = texts.join(lent, same(texts, lent)).select("to_doc_id", "to_mark", F.left(F.col("text"), F.col("lent")).alias("start"))
-    starts = starts.groupBy("to_doc_id", "to_mark").agg(F.max("start").alias("start"))
-    keep = (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int")
-    both = texts.join(starts, same(texts, starts, "to_")).select("doc_id", "mark", "n_chars", "text", F.concat(F.left(F.col("text"), keep), "start").alias("edited"))
-    sides = both.select("doc_id", "mark", "n_chars", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.lit("").alias("sha"), F.col("text")), F.struct(F.lit(1).alias("side"), F.sha2("edited", 256).alias("sha"), F.col("edited").alias("text")))).alias("x"))
-    signed = stage(signatures(sides.select("doc_id", "mark", "n_chars", "x.*"), ["doc_id", "mark", "n_chars", "side", "sha"], coordinates=coordinates), "signatures")
-
-    own = signed.where("side = 0").select("doc_id", "mark", "n_chars", F.col("signature").alias("own"))
-    edited = signed.where("side = 1").select(F.col("doc_id").alias("e_doc_id"), F.col("mark").alias("e_mark"), F.col("sha").alias("edited_sha256"), F.col("signature").alias("edited"))
-    after = own.select(F.col("doc_id").alias("next_doc_id"), F.col("mark").alias("next_mark"), F.col("own").alias("after"))
-    pairs = order.select("doc_id", "mark", "next_doc_id", "next_mark").join(after, (order["next_doc_id"].eqNullSafe(after["next_doc_id"])) & (order["next_mark"] == after["next_mark"]))
-    pairs = pairs.select(F.col("doc_id").alias("a_doc_id"), F.col("mark").alias("a_mark"), "after")
-    known = own.join(edited, same(own, edited, "e_")).join(pairs, same(own, pairs, "a_"))
-    known = known.select(F.col("doc_id").alias("k_doc_id"), F.col("mark").alias("k_mark"), "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("after")).alias("near_next"))
-    rows = texts.select("doc_id", "mark", "n_chars")
-    return rows.join(known, same(rows, known, "k_")).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    lent = order.select(F.col("next_a").alias("a"), F.col("next_b").alias("b"), F.col("a").alias("to_a"), F.col("b").alias("to_b"), "n_chars")
+    quarter = F.floor(F.col("n_chars") / 4).cast("int")
+    starts = body.join(lent, ["a", "b"]).select(F.col("to_a").alias("a"), F.col("to_b").alias("b"), "n_chars", F.left(F.col("text"), quarter).alias("start"))
+    starts = starts.groupBy("a", "b").agg(F.max("n_chars").alias("n_chars"), F.max("start").alias("start"))
+    both = body.join(starts, ["a", "b"]).select("a", "b", "text", F.concat(F.left(F.col("text"), (F.col("n_chars") - quarter).cast("int")), "start").alias("edited"))
+    own = F.struct(F.lit(0).alias("side"), F.lit("").alias("sha"), F.col("text"))
+    changed = F.struct(F.lit(1).alias("side"), F.sha2("edited", 256).alias("sha"), F.col("edited").alias("text"))
+    sides = both.select("a", "b", F.explode(F.array(own, changed)).alias("x")).select("a", "b", "x.*")
+    signed = stage(signatures(sides, ["a", "b", "side", "sha"], coordinates=coordinates), "signatures")
+
+    own = signed.where("side = 0").select("a", "b", F.col("signature").alias("own"))
+    edited = signed.where("side = 1").select("a", "b", F.col("sha").alias("edited_sha256"), F.col("signature").alias("edited"))
+    after = own.select(F.col("a").alias("next_a"), F.col("b").alias("next_b"), F.col("own").alias("after"))
+    pairs = order.select("a", "b", "next_a", "next_b").join(after, ["next_a", "next_b"]).select("a", "b", "after")
+    known = own.join(edited, ["a", "b"]).join(pairs, ["a", "b"])
+    known = known.select("a", "b", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("after")).alias("near_next"))
+    return keyed.select("doc_id", "a", "b", "n_chars").join(known, ["a", "b"]).drop("a", "b")
