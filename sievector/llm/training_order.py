@@ -1,10 +1,11 @@
 """Training order: a keyed permutation gives every sequence a slot, and slots are written to shards.
 
-Documents are encoded, ended, and cut into sequences of at most ``length`` ids.  Sequences are numbered
-0..n-1, a balanced Feistel network over the next even power of two permutes the numbers, and values of
-n or more walk on along their cycle, so slots are 0..n-1 exactly.  A shard holds ``per_shard`` slots of
-fixed stride (a 32-bit count and ``length`` 16-bit ids), so a reader seeks to slot s in one step and resumes
-from any slot.
+Documents are encoded, ended, and cut into sequences of at most ``length`` ids.  A text of b bytes has at most
+ceil((b + 1) / length) sequences, so a cheap scan numbers all that may exist, 0..n-1; no ids are kept in between.
+A balanced Feistel network over the next even power of two permutes the numbers, and values of n or more
+walk on along their cycle.  Tasks own ranges of permuted numbers and write them in order, a shard for
+every ``per_shard`` numbers; slots count the sequences that exist, in that order.  Records have a fixed stride
+(a 16-bit count and ``length`` 16-bit ids), so a reader seeks to any slot and resumes there.
 
 Defined cases: a null or empty text is its end mark alone; rows whose key repeats or is null are
 documents of their own; an empty table writes no shard; other columns are not read.
@@ -12,6 +13,7 @@ documents of their own; an empty table writes no shard; other columns are not re
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -69,70 +71,71 @@ def _stir(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sequences(docs: DataFrame, vocabulary_path: str, length: int, end_id: int, key: str) -> DataFrame:
-    """Staged (key, part, n, ids, task, row): ``row`` counts the sequences of the writing task."""
-    vocabulary = Vocabulary.load(vocabulary_path)
-    if len(vocabulary.tokens) > 1 << 16:
-        raise ValueError("ids need 16 bits")
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary.tokens, vocabulary.ranks, vocabulary.special))
-    mark = end_id.to_bytes(4, "little")
+def bounds(docs: DataFrame, length: int) -> dict[int, int]:
+    """Sequences that each task's texts may have at most; one row a task reaches the driver."""
+    most = F.ceil((F.coalesce(F.octet_length("text"), F.lit(0)) + 1) / F.lit(length))
+    return {r[0]: r[1] for r in docs.select("text", F.spark_partition_id().alias("task")).groupBy("task").agg(F.sum(most)).collect()}
 
-    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, row = encoder_of(("order", vocabulary_path), lambda: Encoder(Vocabulary(*shared.value), library=True)), 0
-        for batch in pieces(batches):
-            at, part, size, data = [], [], [], []
-            for i, raw in enumerate(encoder.encode(texts_of(batch))):
-                ids = np.frombuffer(raw + mark, "<u4").astype("<u2")
-                for k, start in enumerate(range(0, len(ids), length)):
-                    own = ids[start : start + length]
-                    at.append(i)
-                    part.append(k)
-                    size.append(len(own))
-                    data.append(own.tobytes())
-            rows = pa.array(range(row, row + len(at)), pa.int64())
-            row += len(at)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(part, pa.int64()), pa.array(size, pa.int64()), pa.array(data, pa.binary()), rows], ["key", "part", "n", "ids", "row"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    out = arrow_map(docs.select(F.col(key).alias("key"), "text"), body, f"key {kind}, part long, n long, ids binary, row long")
-    return stage(out.withColumn("task", F.spark_partition_id()), "sequences")
-
-
-def materialise(docs: DataFrame, vocabulary_path: str, seed: int = 17, length: int = 512, per_shard: int = 8192, end_id: int = 50256, key: str = "doc_id", folder: str | None = None) -> DataFrame:
+def materialise(docs: DataFrame, vocabulary_path: str, seed: int = 17, length: int = 512, per_shard: int = 16384, end_id: int = 50256, key: str = "doc_id", folder: str | None = None) -> DataFrame:
     """Write the shards and return (key, part, n, slot, shard, offset, path, ids_crc32), one row a sequence.
 
-    A task writes whole shards under names of their own and moves them into place, so a task that runs
-    again leaves the same files.
+    ``docs`` must be split alike whenever it is read, as files are; each task checks its bound against
+    the first scan and fails if it differs.  A task writes whole shards under names of their own and
+    moves them into place, so a task that runs again leaves the same files.
     """
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "shards")
-    cut = sequences(docs, vocabulary_path, length, end_id, key)
-    sizes = sorted((r["task"], r["count"]) for r in cut.groupBy("task").count().collect())  # one row a task
+    vocabulary = Vocabulary.load(vocabulary_path)
+    if len(vocabulary.tokens) > 1 << 16:
+        raise ValueError("ids need 16 bits")
+    own = docs.select(F.col(key).alias("key"), "text")
+    sizes = bounds(own, length)
     first, total = {}, 0
-    for task, count in sizes:
+    for task in sorted(sizes):
         first[task] = total
-        total += count
+        total += sizes[task]
     order = Permutation(total, seed)
-    names = ["key", "part", "n", "slot", "shard", "ids"]
+    shards = max(1, -(-total // per_shard))
+    tasks = min(shards, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    each = -(-shards // tasks)  # shards of a task, next to each other
+    shared = spark.sparkContext.broadcast((vocabulary.tokens, vocabulary.ranks, vocabulary.special))
+    mark = end_id.to_bytes(4, "little")
+    names = ["key", "part", "n", "place", "ids"]
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            by = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
-            start = np.array([first[t] for t in by["task"].to_pylist()], np.int64)
-            slot = order.slot(start + by["row"].to_numpy()) if batch.num_rows else start
-            yield pa.RecordBatch.from_arrays([by["key"], by["part"], by["n"], pa.array(slot), pa.array(slot // per_shard), by["ids"]], names)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        encoder, number = encoder_of(("order", vocabulary_path), lambda: Encoder(Vocabulary(*shared.value), library=True)), first.get(task, 0)
+        for batch in pieces(batches):
+            texts = texts_of(batch)
+            at, part, size, data, numbers = [], [], [], [], []
+            for i, (text, raw) in enumerate(zip(texts, encoder.encode(texts))):
+                ids = np.frombuffer(raw + mark, "<u4").astype("<u2")
+                for k, start in enumerate(range(0, len(ids), length)):
+                    at.append(i)
+                    part.append(k)
+                    numbers.append(number + k)
+                    size.append(min(length, len(ids) - start))
+                    data.append(ids[start : start + length].tobytes())
+                number += -(-(len(text.encode("utf-8", "surrogatepass")) + 1) // length)
+            place = order.slot(np.array(numbers, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(part, pa.int64()), pa.array(size, pa.int64()), pa.array(place), pa.array(data, pa.binary())], names)
+        if number - first.get(task, 0) != sizes.get(task, 0):
+            raise RuntimeError("the documents were split otherwise than in the first scan")
 
     kind = docs.schema[key].dataType.simpleString()
-    placed = arrow_map(cut, number, f"key {kind}, part long, n long, slot long, shard long, ids binary")
-    shards = max(1, -(-total // per_shard))
-    ranged = placed.repartitionByRange(shards, "shard").sortWithinPartitions("slot")
-    stride = 4 + 2 * length
-    out_names = ["key", "part", "n", "slot", "shard", "offset", "path", "ids_crc32"]
+    placed = arrow_map(own, cut, f"key {kind}, part long, n long, place long, ids binary")
+    by_task = F.floor(F.col("place") / F.lit(per_shard * each)).cast("int")
+    ranged = placed.repartitionById(tasks, by_task).sortWithinPartitions("place")
+    stride = 2 + 2 * length
+    out_names = ["key", "part", "n", "shard", "nth", "path", "ids_crc32"]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = pyarrow.fs.FileSystem.from_uri(folder)
         files.create_dir(base, recursive=True)
-        held, stream, temporary = None, None, ""
+        held, stream, temporary, nth = None, None, "", 0
 
         def close() -> None:
             stream.close()
@@ -140,46 +143,53 @@ def materialise(docs: DataFrame, vocabulary_path: str, seed: int = 17, length: i
 
         for batch in batches:
             by = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
-            crc = []
-            for shard, n, ids in zip(by["shard"].to_pylist(), by["n"].to_pylist(), by["ids"].to_pylist()):
-                if shard != held:
+            shard, crc, count = (by["place"].to_numpy() // per_shard).tolist(), [], []
+            for to, n, ids in zip(shard, by["n"].to_pylist(), by["ids"].to_pylist()):
+                if to != held:
                     if stream:
                         close()
-                    held, temporary = shard, f"{base}/.shard-{shard:08d}-{fresh_name()}"
+                    held, nth, temporary = to, 0, f"{base}/.shard-{to:08d}-{fresh_name()}"
                     stream = files.open_output_stream(temporary)
-                stream.write(n.to_bytes(4, "little") + ids + b"\0" * (2 * length - len(ids)))
+                stream.write(n.to_bytes(2, "little") + ids + b"\0" * (2 * length - len(ids)))
                 crc.append(zlib.crc32(ids))
-            slot, shard = by["slot"].to_numpy(), by["shard"].to_numpy()
-            paths = [f"{folder}/shard-{s:08d}.bin" for s in shard.tolist()]
-            yield pa.RecordBatch.from_arrays([by["key"], by["part"], by["n"], by["slot"], by["shard"], pa.array((slot - shard * per_shard) * stride), pa.array(paths, pa.string()), pa.array(crc, pa.int64())], out_names)
+                count.append(nth)
+                nth += 1
+            paths = [f"{folder}/shard-{x:08d}.bin" for x in shard]
+            yield pa.RecordBatch.from_arrays([by["key"], by["part"], by["n"], pa.array(shard, pa.int64()), pa.array(count, pa.int64()), pa.array(paths, pa.string()), pa.array(crc, pa.int64())], out_names)
         if stream:
             close()
 
-    out = arrow_map(ranged, write, f"key {kind}, part long, n long, slot long, shard long, offset long, path string, ids_crc32 long")
-    return stage(out, "shard-index").withColumnRenamed("key", key)
-
+    index = stage(arrow_map(ranged, write, f"key {kind}, part long, n long, shard long, nth long, path string, ids_crc32 long"), "shard-index")
+    held = {r[0]: r[1] for r in index.groupBy("shard").count().collect()}  # one row a shard
+    starts, slot = [], 0
+    for shard in sorted(held):
+        starts.append((shard, slot))
+        slot += held[shard]
+    begins = spark.createDataFrame(starts or [(0, 0)], "shard long, begin long")
+    out = index.join(begins, "shard").select(F.col("key").alias(key), "part", "n", (F.col("begin") + F.col("nth")).alias("slot"), "shard", (F.col("nth") * stride).alias("offset"), "path", "ids_crc32")
+    return out
 
-def fresh_name() -> str:
-    import uuid
 
-    return uuid.uuid4().hex
+def read(folder: str, slot: int, count: int, length: int = 512) -> Iterator[np.ndarray]:
+    """Ids of ``count`` slots from ``slot`` on, in order; stops at the last slot.  Shards' sizes tell where a slot is."""
+    files, base = pyarrow.fs.FileSystem.from_uri(folder)
+    stride, begin = 2 + 2 * length, 0
+    if files.get_file_info(base).type == pyarrow.fs.FileType.NotFound:
+        return
+    found = files.get_file_info(pyarrow.fs.FileSelector(base))
+    for file in sorted((f for f in found if f.base_name.startswith("shard-")), key=lambda f: f.base_name):
+        rows = file.size // stride
+        if slot < begin + rows and count > 0:
+            want = min(count, begin + rows - slot)
+            with files.open_input_file(file.path) as f:
+                f.seek((slot - begin) * stride)
+                data = f.read(want * stride)
+            for at in range(0, len(data), stride):
+                n = int.from_bytes(data[at : at + 2], "little")
+                yield np.frombuffer(data, "<u2", n, at + 2)
+            slot, count = slot + want, count - want
+        begin += rows
 
 
-def read(folder: str, slot: int, count: int, length: int = 512, per_shard: int = 8192) -> Iterator[np.ndarray]:
-    """Ids of ``count`` slots from ``slot`` on, in order; stops at the last slot."""
-    files, base = pyarrow.fs.FileSystem.from_uri(folder)
-    stride = 4 + 2 * length
-    while count > 0:
-        path = f"{base}/shard-{slot // per_shard:08d}.bin"
-        if files.get_file_info(path).type == pyarrow.fs.FileType.NotFound:
-            return
-        want = min(count, per_shard - slot % per_shard)
-        with files.open_input_file(path) as f:
-            f.seek(slot % per_shard * stride)
-            data = f.read(want * stride)
-        if not data:
-            return
-        for at in range(0, len(data), stride):
-            n = int.from_bytes(data[at : at + 4], "little")
-            yield np.frombuffer(data, "<u2", n, at + 4)
-        slot, count = slot + want, count - want
+def fresh_name() -> str:
+    return uuid.uuid4().hex
