@@ -40,3 +40,9 @@ def stage(df: DataFrame, tag: str, partition_by: list[str] | None = None, codec:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table staged under the shared folder.  Results that still read them must be written first."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/sievector")
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
