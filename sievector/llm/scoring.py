@@ -12,6 +12,7 @@ itself; a null key counts as the empty text when the training rows are chosen.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -46,12 +47,15 @@ class WordCoder:
 
     def code(self, words: list[bytes]) -> np.ndarray:
         held = self.held
-        if len(held) > REMEMBERED:
+        if len(held) > REMEMBERED // 2:
             held.clear()
-        for w in {*words}:
-            if w not in held:
-                held[w] = np.array(self.whole.encode_ordinary(" " + w.decode("utf-8", "replace")), np.uint32).tobytes()
-        return np.frombuffer(b"".join(map(held.__getitem__, words)), np.uint32)
+        try:
+            return np.frombuffer(b"".join(map(held.__getitem__, words)), np.uint32)
+        except KeyError:
+            encode = self.whole.encode_ordinary
+            for w in [w for w in {*words} if w not in held]:
+                held[w] = array("I", encode(" " + w.decode("utf-8", "replace"))).tobytes()
+            return np.frombuffer(b"".join(map(held.__getitem__, words)), np.uint32)
 
 
 _CODERS: dict[str, WordCoder] = {}
