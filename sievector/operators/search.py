@@ -47,9 +47,15 @@ def nearest(pairs: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), tie:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def knn(base: DataFrame, queries: DataFrame, k: int, predicate: str | Column | None = None, metric: str = "l2") -> DataFrame:
+def knn(base: DataFrame, queries: DataFrame, k: int, predicate: str | Column | None = None, metric: str = "l2", method: str = "auto") -> DataFrame:
     """Exact filtered kNN (query_id, rank, vec_id, dist).  The filter runs before any distance; tasks keep
-    k rows a query before the shuffle."""
+    k rows a query before the shuffle.
+
+    ``auto`` takes matrix products over Arrow batches for floating-point metrics, which beat array lambdas
+    even on small sets; ``columns`` stays in the JVM.
+    """
+    if method == "auto" and metric in ("l2", "ip"):
+        return knn_blocks(base, queries, k, predicate, metric)
     pairs = scored(where(base, predicate).select("vec_id", "embedding"), queries, metric)
     return nearest(pairs, k).select("query_id", "rank", "vec_id", "dist")
 
@@ -110,15 +116,13 @@ def post_filter(base: DataFrame, queries: DataFrame, k: int, predicate: str | Co
 
     Rows are ranked once, down to the cap; the c that the loop would stop at follows from the ranks of survivors.
     """
-    test = to_column(parse(predicate), base.schema) if isinstance(predicate, str) else predicate
-    pairs = scored(base.select("vec_id", "embedding", F.coalesce(test, F.lit(False)).alias("ok")), queries, metric)
-    size = base.count()
-    cap = min(max_candidates, size)
+    cap = min(max_candidates, base.count())
     ladder = [k]
     while ladder[-1] < cap:
         ladder.append(min(2 * ladder[-1], cap))
     ladder[0] = min(k, cap)
-    kept = nearest(pairs, cap).where("ok")
+    allowed = where(base, predicate).select("vec_id")
+    kept = knn(base, queries, cap, metric=metric).join(allowed, "vec_id", "left_semi")
     order = Window.partitionBy("query_id").orderBy("rank")
     kept = kept.withColumn("nth", F.row_number().over(order))
     kth = F.max(F.when(F.col("nth") == k, F.col("rank"))).over(Window.partitionBy("query_id"))
@@ -129,8 +133,8 @@ def post_filter(base: DataFrame, queries: DataFrame, k: int, predicate: str | Co
 
 def radius(base: DataFrame, queries: DataFrame, epsilon: float, limit: int, predicate: str | Column | None = None, metric: str = "l2") -> DataFrame:
     """Rows within ``epsilon``, nearest first, at most ``limit`` a query."""
-    pairs = scored(where(base, predicate).select("vec_id", "embedding"), queries, metric).where(F.col("dist") <= epsilon)
-    return nearest(pairs, limit).select("query_id", "rank", "vec_id", "dist")
+    # the nearest ``limit`` of those within epsilon are those within epsilon of the nearest ``limit``
+    return knn(base, queries, limit, predicate, metric).where(F.col("dist") <= epsilon)
 
 
 def documents(base: DataFrame, queries: DataFrame, k: int, predicate: str | Column | None = None, metric: str = "l2") -> DataFrame:

@@ -22,7 +22,7 @@ def rows(df, *names):
 
 def test_blocks_equal_columns(base):
     for metric in ("l2", "ip"):
-        a = rows(search.knn(base, queries(base), 7, "label < 6", metric), "query_id", "rank", "vec_id")
+        a = rows(search.knn(base, queries(base), 7, "label < 6", metric, method="columns"), "query_id", "rank", "vec_id")
         assert a == rows(search.knn_blocks(base, queries(base), 7, "label < 6", metric), "query_id", "rank", "vec_id")
 
 
@@ -37,8 +37,8 @@ def test_blocks_of_queries(base, monkeypatch):
 def test_ties_go_to_the_lower_id(spark):
     base = spark.createDataFrame([(i, [float(i % 2), 0.0]) for i in range(10)], "vec_id long, embedding array<float>")
     q = spark.createDataFrame([(1, [0.0, 0.0])], "query_id long, q array<float>")
-    for f in (search.knn, search.knn_blocks):
-        assert [r[2] for r in sorted(f(base, q, 4).collect())] == [0, 2, 4, 6]
+    for method in ("auto", "columns"):
+        assert [r[2] for r in sorted(search.knn(base, q, 4, method=method).collect())] == [0, 2, 4, 6]
 
 
 def test_fewer_rows_than_k(base):
