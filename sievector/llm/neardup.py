@@ -220,7 +220,8 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     members = stage(cells.join(chosen, ["band", "value"]).select("bucket", "n", "cid", "key", "mark"), "members")
     needed = members.select("cid", F.col("key").alias("n_key"), F.col("mark").alias("n_mark")).distinct()
     texts = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
-    wanted = texts.join(needed, F.col("key").eqNullSafe(F.col("n_key")) & (F.col("mark") == F.col("n_mark"))).select("cid", "text")
+    # what grows with the corpus is never broadcast, however small it may look
+    wanted = texts.join(needed.hint("merge"), F.col("key").eqNullSafe(F.col("n_key")) & (F.col("mark") == F.col("n_mark"))).select("cid", "text")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -256,7 +257,7 @@ def keep(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
     stay = found.where("rid = keeper").select(F.col("key").alias("to_key"), F.col("mark").alias("to_mark")).distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(row, F.col(key).alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
-    out = rows.join(stay, F.col("key").eqNullSafe(F.col("to_key")) & (F.col("mark") == F.col("to_mark")))
+    out = rows.join(stay.hint("merge"), F.col("key").eqNullSafe(F.col("to_key")) & (F.col("mark") == F.col("to_mark")))
     if found.groupBy("key", "mark").count().where("count > 1").limit(1).count():
         out = out.dropDuplicates(["key", "mark"])
     return out.select("row.*")

@@ -181,6 +181,19 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, carry:
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` with a score of ``threshold`` or more, with all their columns."""
-    seen = measured(docs, docs.columns)
-    return scored(seen, *fit(seen, labels)).where(F.col("score") >= threshold).select("row.*")
+    """The rows of ``docs`` with a score of ``threshold`` or more, with all their columns.
+
+    Statistics are staged without the texts to fit the network, and taken again as rows are filtered, so no
+    copy of the table is written.
+    """
+    net, prior = fit(measured(docs, ["doc_id"]), labels)
+    shape = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            x = np.array([statistics(t) for t in texts_of(batch)])
+            s = net.score(x) if net else np.full(len(x), prior)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(s >= threshold))], ["row"])
+
+    kind = shape.schema["row"].dataType.simpleString()
+    return arrow_map(shape, body, f"row {kind}").select("row.*")

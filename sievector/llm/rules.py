@@ -199,10 +199,12 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 def keep(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns.
 
-    The verdict is computed beside the row, so no join can multiply rows whose doc_id repeats or is null.
+    Votes are staged without the texts to fit the model, and cast again as rows are filtered: the verdict is
+    computed beside the row, so no join can multiply rows, and no copy of the table is written.
     """
     votes = rules()
     names = list(votes)
-    carried = stage(measure(docs, docs.columns).withColumns({f"v_{k}": v for k, v in votes.items()}).withColumn("base_failed", base_failed()), "rules")
-    model = fit(carried, names)
-    return carried.where(~F.col("base_failed") & (posterior(model, names) >= threshold)).select("row.*")
+    cast = lambda df: df.withColumns({f"v_{k}": v for k, v in votes.items()}).withColumn("base_failed", base_failed())
+    seen = stage(cast(measure(docs)).select("base_failed", *[f"v_{k}" for k in names]), "votes")
+    model = fit(seen, names)
+    return cast(measure(docs, docs.columns)).where(~F.col("base_failed") & (posterior(model, names) >= threshold)).select("row.*")
