@@ -1,7 +1,7 @@
 """Licence scan by a positional index of rare words.
 
 Templates are word sequences.  The index keeps, for each licence word that is rare in the corpus, its
-places in all templates.  A file looks up its rarest licence words; every (word place, template place)
+places in all templates.  A file looks up all of its rare licence words; every (word place, template place)
 pair votes for an alignment, and templates whose votes agree on a relative position are verified:
 the words at the aligned places must match, and the template's mandatory phrases must stand there.
 
@@ -79,7 +79,7 @@ class Index:
     """Postings of licence words; ``idf`` has the words that are rare enough to look up."""
 
     idf: dict[bytes, float]
-    lookups: int = 24  # distinct words that a file looks up, rarest first
+    counted: int = 24  # rare words of a template of which a share must agree, at most
     agree: float = 0.6  # share of a template's rare words that must agree on a position
     slack: int = 6  # words by which an edited copy may shift
     match: float = 0.7  # share of a template's words that must stand at the aligned places
@@ -105,16 +105,15 @@ class Index:
         here = self.postings.keys() & set(words)
         if not here:
             return []
-        looked = set(sorted(here, key=lambda w: (-self.idf[w], w))[: self.lookups])
         votes: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
         for p, w in enumerate(words):
-            if w in looked:
+            if w in here:
                 for t, q in self.postings[w]:
                     votes[t].append((p - q, w))
         found = []
         for t, cast in votes.items():
             cast.sort()
-            need = max(1, math.ceil(self.agree * min(self.rare[t], self.lookups)))
+            need = max(1, math.ceil(self.agree * min(self.rare[t], self.counted)))
             lo, last = 0, -1 << 60
             inside: dict[bytes, int] = defaultdict(int)
             for at, w in cast:  # a window of ``slack`` over the sorted relative positions
@@ -135,9 +134,8 @@ class Index:
         template = self.words[t]
         start, end = max(0, at), min(len(words), at + len(template) + self.slack)
         part = words[start:end]
-        share = _common(template, part) / len(template)
         joined = b" " + b" ".join(part) + b" "
-        if share < self.match or any(k not in joined for k in self.keys[t]):
+        if any(k not in joined for k in self.keys[t]) or (share := _common(template, part) / len(template)) < self.match:
             return None
         return self.labels[t], start, min(end, start + len(template)) - 1, share
 

@@ -1,3 +1,4 @@
+import itertools
 import re
 
 import pytest
@@ -43,6 +44,13 @@ def test_edits_and_missing_phrases():
     assert index.scan(licenses.words_of("license software permission copy the " * 50)) == []
 
 
+def test_several_licences_in_a_file():
+    index = licenses.Index(licenses.rare_words(0, dict.fromkeys(licenses.licence_words(), 0)))
+    for group in [*itertools.combinations(licenses.TEMPLATES, 2), licenses.TEMPLATES]:
+        text = "some words before " * 20 + (" and between" * 20 + " ").join(t for _, t, _ in group) + " and after" * 20
+        assert {label for label, _, _ in group} <= {x[0] for x in index.scan(licenses.words_of(text))}
+
+
 def test_operator(odd, none, clashing):
     rows = {repr(r["doc_id"]): r for r in licenses.scan(odd).collect()}
     assert [s["label"] for s in rows["10"]["spans"] if s["base"]] == ["mit"] and rows["3"]["n_words"] == 0
