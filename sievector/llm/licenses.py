@@ -1,7 +1,7 @@
 """Licence scan by a positional index of rare words.
 
-Templates are word sequences.  The index keeps, for each licence word that is rare in the corpus, its
-places in all templates.  A file looks up all of its rare licence words; every (word place, template place)
+Templates are word sequences.  The index keeps, for each licence word that is rare in the corpus or among
+the rarest of a template, its places in all templates.  A file looks up all of its rare licence words; every (word place, template place)
 pair votes for an alignment, and templates whose votes agree on a relative position are verified:
 the words at the aligned places must match, and the template's mandatory phrases must stand there.
 
@@ -175,9 +175,17 @@ def document_frequencies(docs: DataFrame) -> tuple[int, dict[bytes, int]]:
     return by.get(-1, 0), {w: by.get(i, 0) for w, i in vocabulary.items()}
 
 
-def rare_words(n_docs: int, seen: dict[bytes, int], common: float = 0.2) -> dict[bytes, float]:
-    """IDF of the licence words that at most a share ``common`` of the documents has."""
-    return {w: math.log((n_docs + 1) / (n + 1)) + 1e-9 for w, n in seen.items() if n <= common * n_docs or n_docs == 0}
+def rare_words(n_docs: int, seen: dict[bytes, int], common: float = 0.2, least: int = 8) -> dict[bytes, float]:
+    """IDF of the licence words that at most a share ``common`` of the documents has.
+
+    A group of copies makes the words of its own licence common, so each template also keeps its rarest words
+    whatever their share: ``least`` of them, or as many as must agree on a position in a short template.
+    """
+    kept = {w for w, n in seen.items() if n <= common * n_docs or n_docs == 0}
+    for _, text, _ in TEMPLATES:
+        own = sorted(set(words_of(text)) & seen.keys(), key=lambda w: (seen[w], w))
+        kept.update(own[: min(least, math.ceil(Index.agree * len(own)))])
+    return {w: math.log((n_docs + 1) / (seen[w] + 1)) + 1e-9 for w in sorted(kept)}
 
 
 SPAN = pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64()), ("base", pa.bool_())])

@@ -51,6 +51,23 @@ def test_several_licences_in_a_file():
         assert {label for label, _, _ in group} <= {x[0] for x in index.scan(licenses.words_of(text))}
 
 
+@pytest.mark.parametrize("label,text,keys", licenses.TEMPLATES)
+def test_common_licence(label, text, keys):
+    own = set(licenses.words_of(text))
+    index = licenses.Index(licenses.rare_words(900, {w: 300 if w in own else 0 for w in licenses.licence_words()}))
+    assert label in {x[0] for x in index.scan(licenses.words_of("some words before " * 20 + text + " and after" * 20))}
+
+
+def test_hot_group_and_one_row(spark):
+    label, text, _ = licenses.TEMPLATES[0]
+    other, another, _ = licenses.TEMPLATES[20]
+    rows = [(i, "some words " * 9 + (text if i % 3 == 0 else another if i == 1 else "and nothing of the kind")) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: {s["label"] for s in r["spans"] if not s["base"]} for r in licenses.scan(docs).collect()}
+    assert found == {i: {label} if i % 3 == 0 else {other} if i == 1 else set() for i in range(30)}
+    assert [s["label"] for s in licenses.scan(docs.where("doc_id = 0")).first()["spans"]] == [label]
+
+
 def test_operator(odd, none, clashing):
     rows = {repr(r["doc_id"]): r for r in licenses.scan(odd).collect()}
     assert [s["label"] for s in rows["10"]["spans"] if s["base"]] == ["mit"] and rows["3"]["n_words"] == 0
