@@ -66,21 +66,26 @@ def knn_blocks(base: DataFrame, queries: DataFrame, k: int, predicate: str | Col
     A task holds a query block and k candidates a query; blocks of queries follow each other.
     """
     spark = base.sparkSession
-    n, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(1))).first()
-    blocks = max(1, -(-n * width // QUERY_CELLS))
     parts = []
-    for b in range(blocks):
-        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        rows = own.orderBy("query_id").collect()  # one block of the stated size
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows], np.int64), np.array([r["q"] for r in rows], np.float64)))
+    for ids, q in query_blocks(queries):
+        shared = spark.sparkContext.broadcast((ids, q))
         parts.append(where(base, predicate).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_partial(shared, k, metric), "query_id long, vec_id long, dist double"))
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, dist double")
     return nearest(reduce(DataFrame.union, parts), k).select("query_id", "rank", "vec_id", "dist")
 
 
+def query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of the queries, in blocks of about ``QUERY_CELLS`` elements."""
+    n, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(1))).first()
+    blocks = max(1, -(-n * width // QUERY_CELLS))
+    for b in range(blocks):
+        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        rows = own.orderBy("query_id").collect()  # one block of the stated size
+        if rows:
+            yield np.array([r["query_id"] for r in rows], np.int64), np.array([r["q"] for r in rows], np.float64)
+
+
 def _partial(shared, k: int, metric: str):
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
@@ -91,25 +96,31 @@ def _partial(shared, k: int, metric: str):
                 part = vectors.slice(at, step)
                 rows = np.asarray(part.flatten(), np.float64).reshape(len(part), -1)
                 own = batch.column(0).slice(at, step).to_numpy()
-                rough = distance.block(q, rows, metric)
-                # what may enter: within rounding of the k-th best so far and of the block's own k-th
-                limit = best_d[:, -1]
-                if len(own) > k:
-                    limit = np.minimum(limit, np.partition(rough, k - 1, 1)[:, k - 1])
-                slack = 1e-9 * (1 + np.abs(rough).max())
-                qi, ri = np.nonzero(rough <= limit[:, None] + slack)
-                exact = distance.pairs(q[qi], rows[ri], metric)
-                for i in np.unique(qi):
-                    mine = qi == i
-                    d, v = np.append(best_d[i], exact[mine]), np.append(best_id[i], own[ri[mine]])
-                    order = np.lexsort((v, d))[:k]
-                    best_d[i], best_id[i] = d[order], v[order]
+                merge(best_d, best_id, np.arange(len(q)), q, own, rows, metric)
         keep = np.isfinite(best_d)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keep.sum(1))), pa.array(best_id[keep]), pa.array(best_d[keep])], ["query_id", "vec_id", "dist"])
 
     return body
 
 
+def merge(best_d: np.ndarray, best_id: np.ndarray, who: np.ndarray, q: np.ndarray, own: np.ndarray, rows: np.ndarray, metric: str) -> None:
+    """Put rows (ids ``own``) that belong there into the k best of the queries ``who``, in place."""
+    k = best_d.shape[1]
+    rough = distance.block(q[who], rows, metric)
+    # what may enter: within rounding of the k-th best so far and of the block's own k-th
+    limit = best_d[who, -1]
+    if len(own) > k:
+        limit = np.minimum(limit, np.partition(rough, k - 1, 1)[:, k - 1])
+    slack = 1e-9 * (1 + np.abs(rough).max())
+    qi, ri = np.nonzero(rough <= limit[:, None] + slack)
+    exact = distance.pairs(q[who[qi]], rows[ri], metric)
+    for i in np.unique(qi):
+        mine, to = qi == i, who[i]
+        d, v = np.append(best_d[to], exact[mine]), np.append(best_id[to], own[ri[mine]])
+        order = np.lexsort((v, d))[:k]
+        best_d[to], best_id[to] = d[order], v[order]
+
+
 def post_filter(base: DataFrame, queries: DataFrame, k: int, predicate: str | Column, max_candidates: int, metric: str = "l2") -> DataFrame:
     """Iterative post-filter (query_id, rank, vec_id, dist, candidates): the nearest c rows are filtered, and c
     doubles from k until k survive or c reaches the cap.
@@ -162,7 +173,7 @@ def beam(base: DataFrame, edges: DataFrame, queries: DataFrame, k: int, allowed:
     from sievector.plans.staging import stage
 
     nodes = base.select("vec_id", "embedding", allowed.alias("allowed"), gate.alias("gate"))
-    measure = lambda df: df.join(F.broadcast(queries), "query_id").withColumn("dist", distance.COLUMNS[metric](F.col("q"), F.col("embedding"))).drop("q", "embedding")
+    measure = lambda df: df.join(queries, "query_id").withColumn("dist", distance.COLUMNS[metric](F.col("q"), F.col("embedding"))).drop("q", "embedding")
     start = queries.select("query_id", F.lit(entry).cast("long").alias("vec_id")).join(nodes, "vec_id")
     seen = stage(measure(start).select("query_id", "vec_id", "allowed", "dist", F.lit(0).alias("hop")), "walk")
     frontier = seen

@@ -182,6 +182,24 @@ def test_cells(base):
     assert evaluate.recall_summary(evaluate.recall(some, exact, q, 10), 10).first()["avg_recall"] > 0.8
 
 
+def test_cells_for_blocks_of_queries(base, monkeypatch):
+    from sievector.operators import ivf
+
+    centroids = ivf.train(base, 12)
+    cells = ivf.assign(base, centroids)
+    want = rows(ivf.search_cells(cells, queries(base), centroids, 5, 4, "label < 5"), "query_id", "rank", "vec_id")
+    monkeypatch.setattr(search, "QUERY_CELLS", 64 * 6)
+    assert rows(ivf.search_cells(cells, queries(base), centroids, 5, 4, "label < 5"), "query_id", "rank", "vec_id") == want
+
+
+@pytest.mark.parametrize("name", ["beam_search_gated", "ivf_search"])
+def test_every_fiftieth_vector_is_a_query(spark, base, name):
+    from sievector.plans import catalogue
+
+    got = {r["query_id"] for r in catalogue.QUERIES[name](spark, SF).collect()}
+    assert got == {r["vec_id"] for r in base.where("vec_id % 50 = 0").collect()}
+
+
 def test_small_helpers(spark):
     from sievector.functions import scalars
 
