@@ -628,7 +628,7 @@ def ivf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = vectors(spark, sf_dir)
     centroids = ivf.train(base, 16)
     cells = stage(ivf.assign(base, centroids), "cells")
-    return shown(ivf.search_cells(cells, every_fiftieth(base), centroids, K, 8, "label < 5"))
+    return shown(ivf.search_cells(cells, every_fiftieth(base), centroids, K, 12, "label < 5"))
 
 
 @query(

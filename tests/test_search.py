@@ -200,6 +200,18 @@ def test_every_fiftieth_vector_is_a_query(spark, base, name):
     assert got == {r["vec_id"] for r in base.where("vec_id % 50 = 0").collect()}
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_of_registered_cells(spark, sf):
+    from sievector.plans import catalogue
+
+    sf_dir = f"/root/testdata/{sf}"
+    vectors = catalogue.vectors(spark, sf_dir)
+    q = catalogue.every_fiftieth(vectors)
+    exact = search.knn(vectors, q, catalogue.K, "label < 5")
+    found = catalogue.QUERIES["ivf_search"](spark, sf_dir)
+    assert evaluate.recall_summary(evaluate.recall(found, exact, q, catalogue.K), catalogue.K).first()["avg_recall"] >= 0.9
+
+
 def test_small_helpers(spark):
     from sievector.functions import scalars
 
