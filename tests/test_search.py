@@ -101,6 +101,32 @@ def test_spanning_tree():
     assert sorted(tuple(sorted(e)) for e in graph.spanning_tree([1, 2, 3, 4], w)) == [(1, 2), (2, 3)]
 
 
+def test_spanning_forest(spark):
+    """Against Prim's tree of each bucket, with many ties and pairs that are not joined."""
+    rng = np.random.default_rng(4)
+    weights = {(k, int(a), int(b)): int(w) for k in (1, 2, 3) for a, b, w in rng.integers(0, (60, 60, 4), (90, 3)) if a < b}
+    got = rows(graph.spanning_forest(spark.createDataFrame([(*key, w) for key, w in weights.items()], "bucket int, a long, b long, weight int")), "bucket", "a", "b")
+    assert len(got) == len(set(got))
+    for k in (1, 2, 3):
+        own = {(a, b): w for (bucket, a, b), w in weights.items() if bucket == k}
+        mine = {(a, b): own[a, b] for bucket, a, b in got if bucket == k}
+        want = graph.spanning_tree(sorted({x for pair in own for x in pair}), own)
+        assert len(mine) == len(want) == len(graph.spanning_tree(sorted({x for pair in own for x in pair}), mine))
+        assert sum(mine.values()) == sum(own[min(e), max(e)] for e in want)
+    assert graph.spanning_forest(spark.createDataFrame([], "bucket int, a long, b long, weight int")).count() == 0
+
+
+def test_more_terminals_than_a_driver_takes(spark):
+    """5000 pairs of a bucket with a node of another between them: 10,000 clusters, joined two by two."""
+    ids = spark.range(15000)
+    buckets = ids.select(F.col("id").alias("vec_id"), (F.col("id") % 3 == 1).cast("int").alias("bucket"))
+    steps = ids.where("id % 3 < 2").select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    edges = steps.union(steps.select("dst", "src"))
+    clusters = graph.bucket_components(edges, buckets)
+    tree = graph.connecting_tree(edges, clusters, 1, 2).where("bucket = 0")
+    assert tree.count() == 15000 and tree.where("node_id % 3 = 1").count() == 5000
+
+
 def test_components(spark):
     from sievector.plans.components import connected_components
 
