@@ -107,6 +107,11 @@ def gather(training: DataFrame, path: str, shared, end: int) -> DataFrame:
     return stage(arrow_map(training.select("text"), body, "word binary, a long, b long, n long"), "gathered")
 
 
+def sampled(rows: DataFrame, size: int) -> DataFrame:
+    """``size`` rows of least hash; the key is in the hash, so copies of a text don't stand together."""
+    return rows.orderBy(F.xxhash64("text", "key"), "key").limit(size)
+
+
 def fit(raw: DataFrame, sample: list[str], path: str, shared, end: int, size: int, n_classes: int, windows: int) -> tuple[Model, np.ndarray, np.ndarray]:
     """The model, each raw id's number in it, and the log probability of rare ids among themselves.
 
@@ -167,7 +172,7 @@ def score(
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = total + n_training, distinct + (n_training > 0)
     below = np.log10(total + ADD * (distinct + 1))
-    chosen = learned.orderBy(F.xxhash64("text"), "key").limit(train_documents).select("text").collect()
+    chosen = sampled(learned, train_documents).select("text").collect()
     model, number, log_rare = fit(raw, [r["text"] for r in chosen], vocabulary_path, shared, end, size, n_classes, train_windows)
     top = {bytes(r["word"]): r["c"] for r in frequent(counts, "c", broadcast_words).collect()}
     known = spark.sparkContext.broadcast((model, number, (log_rare / np.log(10)), {w: float(np.log10(c + ADD) - below) for w, c in top.items()}))

@@ -114,3 +114,10 @@ def test_gradients():
     before = m.log_probabilities(windows).sum()
     m.train(windows.rows, epochs=20)
     assert m.log_probabilities(windows).sum() > before
+
+
+def test_copies_do_not_fill_the_sample(spark):
+    """A third of rows are copies, whatever the hash of their text: about a third of the sample is."""
+    for text in ("one", "two", "three", "four", "five", "six", "seven", "eight"):
+        rows = spark.range(3000).select(F.col("id").alias("key"), F.when(F.col("id") % 3 == 0, F.lit(text)).otherwise(F.col("id").cast("string")).alias("text"))
+        assert 130 < scoring.sampled(rows, 600).where(F.col("text") == text).count() < 270
