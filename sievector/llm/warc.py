@@ -27,6 +27,7 @@ from sievector.llm.batches import arrow_map, pieces
 
 _HIDDEN = re.compile(r"<(script|style|noscript|template|head)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)", re.S | re.I)
 _STYLE = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)", re.S | re.I)
+_OPENING = re.compile(r"<(?:script|style)\b[^>]*>", re.I)
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
 _BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|aside|blockquote|pre|dd|dt|dl)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
@@ -54,7 +55,8 @@ def plain_text(body: str) -> str:
 def links(body: str, uri: str) -> list[tuple[str, str]]:
     """(attribute, absolute URI) without fragments; what can't be resolved is left out."""
     found: dict[tuple[str, str], None] = {}
-    for m in _LINK.finditer(_STYLE.sub(" ", body)):
+    # of scripts and styles the opening tag stays
+    for m in _LINK.finditer(_STYLE.sub(lambda m: tag[0] if (tag := _OPENING.match(m[0])) else " ", body)):
         raw = html.unescape(m[2] or m[3] or m[4] or "").strip()
         if not raw or raw.lower().startswith(("javascript:", "data:", "#")):
             continue

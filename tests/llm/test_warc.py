@@ -14,6 +14,12 @@ def test_text_and_links():
     assert warc.links(PAGE, "http://h.example/d/p.html") == [("href", "http://h.example/x"), ("href", "http://o.example/"), ("src", "http://h.example/d/pic.png")]
 
 
+def test_links_of_scripts():
+    page = """<script src="/a.js"></script><SCRIPT async src='b.js'>var t = "<a href='no'>";</SCRIPT><style>/* <img src=no> */</style>
+<!-- <script src="no.js"></script> --><script>"<img src=no>"</script><a href="/x">x</a><script defer src="c.js">"""
+    assert [u for _, u in warc.links(page, "http://h.example/d/")] == [f"http://h.example/{x}" for x in ("a.js", "d/b.js", "x", "d/c.js")]
+
+
 def test_records():
     fields, http, payload = warc.response(1, "http://h.example/", PAGE, "2024-01-01T00:00:00Z")
     records = warc.derive(fields, http, payload)
