@@ -1,9 +1,14 @@
 """A causal self-attention model over subword ids, trained and applied with numpy.
 
 One head attends over the last ``BEFORE`` to ``BEFORE + SPAN - 1`` ids.  A key joins an id with the one before it, so the
-head can find earlier places that follow the same id.  The output is factored: the head moves the
-class distribution that corpus counts give after the last id, and counts give the id within its class.
-Windows overlap by ``BEFORE`` ids, and each id is scored in one window only.
+head can find earlier places that follow the same id.  Beside the head stands a feed-forward path over the
+last two ids.  The output is factored: head and path move the class distribution that corpus counts give after
+the last id, and counts give the id within its class.  Windows overlap by ``BEFORE`` ids, and each id is scored in one
+window only.
+
+Where a softmax has exp(x), this one has max(LEAST, 1 + x / POWER) ** POWER, by squaring: numpy's exp takes
+several times as long, and any positive function that is normalised gives probabilities.  With untrained
+weights the class distribution is exactly that of the counts.
 """
 
 from __future__ import annotations
@@ -12,9 +17,16 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Ids that a window only reads, ids that it scores, width of the head, windows computed at once.
-BEFORE, SPAN, WIDTH, AT_ONCE = 16, 32, 16, 64
-_FAR = np.float32(-1e9)
+#: Ids that a window only reads, ids that it scores, width of the head and of the path, windows computed at once.
+BEFORE, SPAN, WIDTH, PATH, AT_ONCE = 16, 32, 8, 16, 32
+_KEYS = BEFORE + SPAN - 1
+#: The power that stands for the exponential (two to SQUARINGS), and the bounds of what is raised to it.
+SQUARINGS, LEAST, MOST = 4, 0.02, 60.0
+POWER = 1 << SQUARINGS
+#: Steps back from the query of scored place i, which stands at BEFORE - 1 + i, to each key.
+_GAP = (BEFORE - 1 + np.arange(SPAN))[:, None] - np.arange(_KEYS)[None, :]
+_SEEN = (_GAP >= 0).astype(np.float32)
+_GAP = np.maximum(_GAP, 0)
 
 
 @dataclass
@@ -54,149 +66,176 @@ def _cluster(rows: np.ndarray, weight: np.ndarray, n: int, seed: int) -> np.ndar
     return own
 
 
-class Windows:
-    """Windows of many texts: ``last`` and ``ids`` are rows of BEFORE + SPAN ids, ``text`` the text of each row."""
+def windows(ids: np.ndarray, sizes: np.ndarray, end: int, filler: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, text, nth): windows of BEFORE + SPAN + 1 ids, the text that each is of, and its number there.
 
-    def __init__(self, texts: list[np.ndarray], end: int):
-        """Each text's ids, its end included; ``end`` also stands before the first id, ``end + 1`` is filler."""
-        filler = end + 1
-        spans = np.fromiter((-(-len(t) // SPAN) for t in texts), np.int64, len(texts))
-        sizes = BEFORE + 1 + SPAN * spans
-        stream = np.full(int(sizes.sum()), filler, np.int32)
-        first = np.cumsum(sizes) - sizes
-        for at, t in zip(first.tolist(), texts):
-            stream[at + BEFORE] = end
-            stream[at + BEFORE + 1 : at + BEFORE + 1 + len(t)] = t
-        self.text = np.repeat(np.arange(len(texts)), spans)
-        nth = np.arange(len(self.text)) - np.repeat(np.cumsum(spans) - spans, spans)
-        starts = first[self.text] + SPAN * nth
-        self.rows = stream[starts[:, None] + np.arange(BEFORE + SPAN + 1)]
-        self.filler = filler
+    ``ids`` are the ids of all texts in a line, each text's ``end`` included, and ``sizes`` how many each text has.
+    ``end`` also stands before a text's first id, ``filler`` before that and after its last.
+    """
+    spans = -(-sizes // SPAN)
+    room = BEFORE + 1 + SPAN * spans
+    first = np.cumsum(room) - room
+    stream = np.full(int(room.sum()), filler, np.int32)
+    stream[first + BEFORE] = end
+    begin = np.cumsum(sizes) - sizes
+    stream[np.repeat(first + BEFORE + 1 - begin, sizes) + np.arange(len(ids))] = ids
+    text = np.repeat(np.arange(len(sizes)), spans)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(spans) - spans, spans)
+    at = first[text] + SPAN * nth
+    return stream.take(at[:, None] + np.arange(BEFORE + SPAN + 1)), text, nth
 
 
 class Model:
+    """Ids are 0 to n_ids - 1; n_ids itself is filler, which no query sees and no score counts."""
+
     def __init__(self, counts: Counts, seed: int = 3):
         rng = np.random.default_rng(seed)
         m, c = counts.log_class.shape
         self.n_ids = m
-        table = lambda: rng.normal(0, 0.3, (m + 1, WIDTH)).astype(np.float32)
+        table = lambda width: rng.normal(0, 0.3, (m + 1, width)).astype(np.float32)
         self.weights = {
-            "query": table(),
-            "key": table(),
-            "key_before": table(),
-            "value": table(),
-            "out": np.zeros((WIDTH, c), np.float32),
+            "query": table(WIDTH),
+            "key": table(WIDTH),
+            "key_before": table(WIDTH),
+            "value": table(WIDTH),
+            "last": table(PATH),
+            "last_but_one": table(PATH),
+            "out": np.zeros((WIDTH + PATH, c), np.float32),
             "near": np.zeros(BEFORE + SPAN, np.float32),  # by distance
         }
         self.classes = np.append(counts.classes, 0)
-        self.log_class = np.vstack([counts.log_class, np.zeros((1, c), np.float32)])
+        self.root = np.vstack([np.exp(counts.log_class / POWER), np.ones((1, c), np.float32)])
         self.log_id = np.pad(counts.log_id, ((0, 1), (0, 1)))
 
-    def _bias(self) -> np.ndarray:
-        """Distance bias and causal mask: the query of scored place i stands at BEFORE - 1 + i."""
-        gap = (BEFORE - 1 + np.arange(SPAN))[:, None] - np.arange(BEFORE + SPAN - 1)[None, :]
-        return np.where(gap >= 0, self.weights["near"][np.maximum(gap, 0)], _FAR)
-
-    def _forward(self, rows: np.ndarray, keep: bool = False) -> tuple:
-        w = self.weights
-        # rows[:, 0] is only ever the id before the first key
-        before, ids = rows[:, : BEFORE + SPAN - 1], rows[:, 1 : BEFORE + SPAN]
-        last, goal = rows[:, BEFORE : BEFORE + SPAN], rows[:, BEFORE + 1 :]
-        q, k, v = w["query"][last], w["key"][ids] + w["key_before"][before], w["value"][ids]
-        s = q @ k.transpose(0, 2, 1)
-        s *= np.float32(WIDTH**-0.5)
-        s += self._bias()
+    def _forward(self, rows: np.ndarray, held: dict[str, np.ndarray], keep: bool = False) -> tuple:
+        """Log probability of each scored place, and queries, keys and values.
+
+        ``held`` keeps the large arrays from call to call: ``a`` attention and ``whole`` its sums, ``h`` hidden values,
+        ``z`` classes and ``total`` their sums; with ``keep`` also the roots ``a1`` and ``z1`` of both.
+        """
+        w, n = self.weights, len(rows)
+        if held.get("n") != n:
+            shapes = {"a": (n, SPAN, _KEYS), "z": (n * SPAN, self.root.shape[1]), "c": (n * SPAN, self.root.shape[1]), "h": (n * SPAN, WIDTH + PATH)}
+            held |= {"n": n} | {k: np.empty(x, np.float32) for k, x in shapes.items()}
+        a, z, h = held["a"], held["z"], held["h"]
+        before, ids = rows[:, :_KEYS], rows[:, 1 : BEFORE + SPAN]
+        last, goal, two = rows[:, BEFORE : BEFORE + SPAN], rows[:, BEFORE + 1 :].ravel(), rows[:, BEFORE - 1 : BEFORE - 1 + SPAN].ravel()
+        k = w["key"].take(ids, 0)
+        k += w["key_before"].take(before, 0)
+        k *= np.float32(WIDTH**-0.5 / POWER)
+        q, v = w["query"].take(last, 0), w["value"].take(ids, 0)
+        last = last.ravel()
+        np.matmul(q, k.transpose(0, 2, 1), out=a)
+        a += (1 + w["near"] / np.float32(POWER))[_GAP]
+        _raised(a, held, "a1" if keep else "")
+        a *= _SEEN
         filler = ids[:, :BEFORE] == self.n_ids
-        if filler.any():
-            s[:, :, :BEFORE] += np.where(filler, _FAR, np.float32(0))[:, None, :]
-        s -= s.max(-1, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(-1, keepdims=True)
-        h = s @ v
-        z = h @ w["out"]
-        z += self.log_class[last]
-        z -= z.max(-1, keepdims=True)
-        aim = self.classes[goal]
-        of_aim = np.take_along_axis(z, aim[..., None], -1)[..., 0]
-        np.exp(z, out=z)
-        total = z.sum(-1)
-        log_p = of_aim - np.log(total) + self.log_id[last, goal]
-        return (log_p, s, h, z / total[..., None], q, k, v) if keep else (log_p,)
-
-    def log_probabilities(self, windows: Windows) -> np.ndarray:
-        """Natural-log probability of each scored place; filler has 0."""
-        out = np.empty((len(windows.rows), SPAN), np.float32)
-        bias = self._bias()
-        for at in range(0, len(windows.rows), AT_ONCE):
-            rows = windows.rows[at : at + AT_ONCE]
-            own = self._fast(rows, bias)
-            out[at : at + AT_ONCE] = own if own is not None else self._forward(rows)[0]
-        out[windows.rows[:, BEFORE + 1 :] == windows.filler] = 0
+        if (at := np.flatnonzero(filler.any(1))).size:
+            a[at, :, :BEFORE] *= ~filler[at][:, None, :]
+        held["whole"] = whole = a.reshape(-1, _KEYS) @ np.ones((_KEYS, 1), np.float32)
+        np.divide((a @ v).reshape(-1, WIDTH), whole, out=h[:, :WIDTH])
+        u = h[:, WIDTH:]
+        np.add(w["last"].take(last, 0), w["last_but_one"].take(two, 0), out=u)
+        np.maximum(u, 0, out=u)
+        np.matmul(h, w["out"] / np.float32(POWER), out=z)
+        z += self.root.take(last, 0, out=held["c"], mode="clip")
+        aim = np.clip(z[np.arange(len(z)), self.classes.take(goal)], LEAST, MOST)
+        _raised(z, held, "z1" if keep else "")
+        held["total"] = total = z @ np.ones((z.shape[1], 1), np.float32)
+        return np.float32(POWER) * np.log(aim) - np.log(total[:, 0]) + self.log_id[last, goal], q, k, v
+
+    def log_probabilities(self, rows: np.ndarray) -> np.ndarray:
+        """Natural-log probability of each window's scored places; filler has 0."""
+        out, held = np.empty((len(rows), SPAN), np.float32), {}
+        for at in range(0, len(rows), AT_ONCE):
+            out[at : at + AT_ONCE] = self._forward(rows[at : at + AT_ONCE], held)[0].reshape(-1, SPAN)
+        out[rows[:, BEFORE + 1 :] == self.n_ids] = 0
         return out
 
-    def _fast(self, rows: np.ndarray, bias: np.ndarray) -> np.ndarray | None:
-        """``_forward`` with exponentials taken as they are, and sums divided once a place instead of once a key;
-        None where one of them overflows."""
-        w = self.weights
-        ids, last, goal = rows[:, 1 : BEFORE + SPAN], rows[:, BEFORE : BEFORE + SPAN], rows[:, BEFORE + 1 :]
-        k = w["key"][ids]
-        k += w["key_before"][rows[:, : BEFORE + SPAN - 1]]
-        k *= np.float32(WIDTH**-0.5)
-        s = w["query"][last] @ k.transpose(0, 2, 1)
-        s += bias
-        filler = ids[:, :BEFORE] == self.n_ids
-        if (at := np.flatnonzero(filler.any(1))).size:
-            s[at, :, :BEFORE] += np.where(filler[at], _FAR, np.float32(0))[:, None, :]
-        with np.errstate(over="ignore"):
-            np.exp(s, out=s)
-            h = (s @ w["value"][ids]).reshape(-1, WIDTH)
-            h /= s.reshape(-1, s.shape[-1]) @ np.ones((s.shape[-1], 1), np.float32)
-            z = h @ w["out"]
-            z += self.log_class[last.ravel()]
-            goal, last = goal.ravel(), last.ravel()
-            of_aim = z[np.arange(len(z)), self.classes[goal]]
-            np.exp(z, out=z)
-            total = z @ np.ones(z.shape[1], np.float32)
-        if not (np.isfinite(total).all() and (total > 0).all()):
-            return None
-        return (of_aim - np.log(total) + self.log_id[last, goal]).reshape(-1, SPAN)
-
-    def train(self, rows: np.ndarray, epochs: int = 4, batch: int = 64, rate: float = 0.02, seed: int = 9) -> None:
-        """Adam on the class likelihood; the counts stay as they are."""
-        rng = np.random.default_rng(seed)
-        w = self.weights
-        first = {k: np.zeros_like(x) for k, x in w.items()}
-        second = {k: np.zeros_like(x) for k, x in w.items()}
-        steps, step = epochs * -(-len(rows) // batch), 0
-        gap = (BEFORE - 1 + np.arange(SPAN))[:, None] - np.arange(BEFORE + SPAN - 1)[None, :]
-        seen = gap >= 0
+    def gradients(self, rows: np.ndarray, held: dict[str, np.ndarray] | None = None) -> tuple[dict[str, np.ndarray], list[tuple[str, np.ndarray, np.ndarray]]]:
+        """Of the mean loss over the rows' real places: whole arrays, and (table, ids, gradient of each) to be summed."""
+        w, held = self.weights, {} if held is None else held
+        _, q, k, v = self._forward(rows, held, keep=True)
+        a, p, h = held["a"], held["z"], held["h"]
+        before, ids = rows[:, :_KEYS], rows[:, 1 : BEFORE + SPAN]
+        last, goal, two = rows[:, BEFORE : BEFORE + SPAN], rows[:, BEFORE + 1 :].ravel(), rows[:, BEFORE - 1 : BEFORE - 1 + SPAN]
+        real = goal != self.n_ids
+        p /= held["total"]
+        p[np.arange(len(p)), self.classes[goal]] -= 1
+        p /= held["z1"]
+        p *= (real / max(1, real.sum())).astype(np.float32)[:, None]
+        back = p @ w["out"].T
+        path = back[:, WIDTH:] * (h[:, WIDTH:] > 0)
+        dh = np.ascontiguousarray(back[:, :WIDTH]).reshape(q.shape)
+        a /= held["whole"].reshape(len(rows), SPAN, 1)
+        dv = a.transpose(0, 2, 1) @ dh
+        ds = dh @ v.transpose(0, 2, 1)
+        ds -= (dh * h[:, :WIDTH].reshape(q.shape)).sum(-1, keepdims=True)
+        ds *= a
+        ds /= held["a1"]
+        near = np.bincount(_GAP.ravel(), ds.sum(0).ravel(), BEFORE + SPAN).astype(np.float32)
+        dk = ds.transpose(0, 2, 1) @ q
+        dk *= np.float32(WIDTH**-0.5)
+        dq = ds @ k
+        dq *= np.float32(POWER)
+        by_id = [("query", last, dq), ("key", ids, dk), ("key_before", before, dk), ("value", ids, dv), ("last", last, path), ("last_but_one", two, path)]
+        return {"out": h.T @ p, "near": near}, by_id
+
+    def train(self, rows: np.ndarray, epochs: int = 1, batch: int = 64, rate: float = 0.05, seed: int = 9) -> None:
+        """Passes over the rows in random order, at a pace that falls to nothing."""
+        rng, adam = np.random.default_rng(seed), Adam(self)
+        steps = epochs * -(-len(rows) // batch)
         for _ in range(epochs):
             order = rng.permutation(len(rows))
             for at in range(0, len(rows), batch):
-                part = rows[order[at : at + batch]]
-                _, a, h, p, q, k, v = self._forward(part, keep=True)
-                before, ids = part[:, : BEFORE + SPAN - 1], part[:, 1 : BEFORE + SPAN]
-                last, goal = part[:, BEFORE : BEFORE + SPAN], part[:, BEFORE + 1 :]
-                real = goal != self.n_ids
-                dz = p
-                np.put_along_axis(dz, self.classes[goal][..., None], np.take_along_axis(dz, self.classes[goal][..., None], -1) - 1, -1)
-                dz *= (real / max(1, real.sum()))[..., None].astype(np.float32)
-                flat = dz.reshape(-1, dz.shape[-1])
-                grads = {"out": h.reshape(-1, WIDTH).T @ flat}
-                dh = dz @ w["out"].T
-                da = dh @ v.transpose(0, 2, 1)
-                ds = a * (da - (da * a).sum(-1, keepdims=True))
-                per_gap = np.zeros_like(w["near"])
-                np.add.at(per_gap, gap[seen], ds.sum(0)[seen])
-                grads["near"] = per_gap
-                ds *= np.float32(WIDTH**-0.5)
-                dk = ds.transpose(0, 2, 1) @ q
-                for name, where, grad in (("query", last, ds @ k), ("key", ids, dk), ("key_before", before, dk), ("value", ids, a.transpose(0, 2, 1) @ dh)):
-                    grads[name] = np.zeros_like(w[name])
-                    np.add.at(grads[name], where.ravel(), grad.reshape(-1, WIDTH))
-                step += 1
-                pace = rate * (1 - step / (steps + 1))
-                for name, g in grads.items():
-                    first[name] = 0.9 * first[name] + 0.1 * g
-                    second[name] = 0.99 * second[name] + 0.01 * g * g
-                    w[name] = w[name] - (pace * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+                adam.step(rows[order[at : at + batch]], rate * (1 - adam.steps / steps))
+
+    def flat(self) -> np.ndarray:
+        """All weights in a line, in the order of their names."""
+        return np.concatenate([self.weights[k].ravel() for k in sorted(self.weights)])
+
+    def unflat(self, line: np.ndarray) -> None:
+        at = 0
+        for k in sorted(self.weights):
+            w = self.weights[k]
+            self.weights[k] = line[at : at + w.size].reshape(w.shape).astype(np.float32)
+            at += w.size
+
+
+class Adam:
+    """Steps on the class likelihood, over ids that a batch has; the counts stay as they are."""
+
+    def __init__(self, model: Model):
+        self.model, self.steps, self.held = model, 0, {}
+        self.first = {k: np.zeros_like(x) for k, x in model.weights.items()}
+        self.second = {k: np.zeros_like(x) for k, x in model.weights.items()}
+
+    def step(self, rows: np.ndarray, rate: float) -> None:
+        whole, by_id = self.model.gradients(rows, self.held)
+        self.steps += 1
+        pace = np.float32(rate / (1 - 0.9**self.steps))
+        scale = np.float32(1 / (1 - 0.99**self.steps))
+        for name, where, g in [*((k, slice(None), g) for k, g in whole.items()), *((k, *_summed(ids, g)) for k, ids, g in by_id)]:
+            m, s = self.first[name][where], self.second[name][where]
+            m += np.float32(0.1) * (g - m)
+            s += np.float32(0.01) * (g * g - s)
+            self.first[name][where], self.second[name][where] = m, s
+            self.model.weights[name][where] -= pace * m / (np.sqrt(s * scale) + np.float32(1e-7))
+
+
+def _raised(x: np.ndarray, held: dict[str, np.ndarray], root: str) -> None:
+    """``x`` within its bounds to the power of POWER, in place; the bounded values stay in ``held[root]`` where that is named."""
+    np.clip(x, LEAST, MOST, out=x)
+    if root:
+        held[root] = x.copy()
+    for _ in range(SQUARINGS):
+        np.multiply(x, x, out=x)
+
+
+def _summed(where: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids and the sum of the gradients of each."""
+    where = where.ravel()
+    order = np.argsort(where, kind="stable")
+    where = where[order]
+    first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
+    return where[first], np.add.reduceat(grad.reshape(len(order), -1).take(order, 0), first, 0)

@@ -1,151 +1,193 @@
 """Language-model scores of documents, and the word-frequency score that they are compared with.
 
-Gathered from the whole training corpus: counts of words, and counts of pairs of subword ids, both by
-partial sums and a shuffle.  The most frequent ``broadcast_words`` words travel to the tasks; all
-others meet their counts in a join, so no count is left out.  The attention weights are fitted on a
-bounded sample of windows (``train_documents``, ``train_windows``), the count tables on everything.
-
-Defined cases: a null or blank text is its end alone; an empty training set gives a base score of
-probabilities from the constant alone and a model of even counts; rows that repeat are scored each for
-itself; a null key counts as the empty text when the training rows are chosen.
+One pass over the training texts gathers counts of words, counts of pairs of subword ids, and windows for the
+attention weights; the counts meet by partial sums and a shuffle, and cover every text.  Weights are first
+fitted on ``first_windows`` windows and then by all tasks side by side, each over the windows of its own texts, and
+averaged: one window in sixteen (``share``) of the whole training corpus, drawn by a hash of key and place, and all of them
+while the corpus has fewer than ``least_windows``.  The most frequent ``broadcast_words`` words travel to the tasks; all
+others meet their counts in a join, so no count is left out.  The ``size`` most frequent ids have numbers of their own
+in the model; the others share one, and are told apart by how frequent they are.
+
+Defined cases: a null or blank text is its end alone; a very long text is cut into windows like any other; an empty
+training set gives a base score of probabilities from the constant alone and a model of even counts; rows that
+repeat are scored each for itself; a null key counts as the empty text when the training rows are chosen; other columns are not read.
 """
 
 from __future__ import annotations
 
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievector.llm.attention import Counts, Model, Windows
-from sievector.llm.batches import arrow_map, pieces, texts_of
+from sievector.llm.attention import Adam, Counts, Model, windows
+from sievector.llm.batches import arrow_map, pieces
 from sievector.llm.subwords import REMEMBERED, Vocabulary, frequent
+from sievector.llm.words import Coder, Words, words
 from sievector.plans.staging import stage
 
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Base smoothing; a fixed value.
 ADD = 0.1
+#: Text bytes in a window of new ids, about; weights in a row of their table.
+BYTES, BLOCK = 80, 1 << 14
 
+_CODERS: dict[str, Coder] = {}
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
 
+def _coder(path: str, shared) -> Coder:
+    if path not in _CODERS:
+        _CODERS[path] = Coder(*shared.value)
+    return _CODERS[path]
 
-class WordCoder:
-    """Subword ids of words, each with its leading space, as bytes of 32-bit ids."""
-
-    def __init__(self, tokens: list[bytes], special: dict[str, int]):
-        known = set(special.values())
-        ranks = {t: i for i, t in enumerate(tokens) if i not in known}
-        self.whole = tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
-        self.held: dict[bytes, bytes] = {}
 
-    def code(self, words: list[bytes]) -> np.ndarray:
-        held = self.held
-        if len(held) > REMEMBERED // 2:
-            held.clear()
-        try:
-            return np.frombuffer(b"".join(map(held.__getitem__, words)), np.uint32)
-        except KeyError:
-            encode = self.whole.encode_ordinary
-            for w in [w for w in {*words} if w not in held]:
-                held[w] = array("I", encode(" " + w.decode("utf-8", "replace"))).tobytes()
-            return np.frombuffer(b"".join(map(held.__getitem__, words)), np.uint32)
+def _ended(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's ids with its end."""
+    out = np.full(len(ids) + len(sizes), end, ids.dtype)
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
+    return out, sizes + 1
 
 
-_CODERS: dict[str, WordCoder] = {}
+def _draw(keys: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """A number of 32 bits for each window, from its text's key and its place there."""
+    x = keys.view(np.uint64) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x >> np.uint64(32)).astype(np.int64)
 
 
-def _coder(path: str, shared) -> WordCoder:
-    if path not in _CODERS:
-        _CODERS[path] = WordCoder(*shared.value)
-    return _CODERS[path]
+def gather(training: DataFrame, path: str, shared, end: int, share: float) -> DataFrame:
+    """Staged partial counts of a task, and windows: (word, n), (pair, n) and (window, draw), other columns null.
 
+    A pair is the earlier id times 2 ** 20 plus the later; a window is 16-bit raw ids."""
 
-def gather(training: DataFrame, path: str, shared, end: int) -> DataFrame:
-    """Staged partial counts of a task: (word, null, null, n) and (null, a, b, n)."""
+    def rows(**columns: pa.Array) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        kinds = {"word": pa.string(), "pair": pa.int64(), "n": pa.int64(), "window": pa.binary(), "draw": pa.int64()}
+        return pa.RecordBatch.from_arrays([columns[k].cast(t) if k in columns else pa.nulls(n, t) for k, t in kinds.items()], list(kinds))
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, words, pairs, docs = _coder(path, shared), Counter(), [], 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal docs
-            keys, n = np.unique(np.concatenate([k for k, _ in pairs]), return_inverse=True) if pairs else (np.empty(0, np.int64), np.empty(0, np.int64))
-            sums = np.bincount(n, np.concatenate([c for _, c in pairs]), len(keys)).astype(np.int64) if pairs else np.empty(0, np.int64)
-            none, w = len(keys), len(words)
-            out = pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*words, *[None] * none], pa.binary()),
-                    pa.array(np.concatenate([np.zeros(w, np.int64), keys >> 20]), pa.int64(), mask=np.arange(w + none) < w),
-                    pa.array(np.concatenate([np.zeros(w, np.int64), keys & 0xFFFFF]), pa.int64(), mask=np.arange(w + none) < w),
-                    pa.array(np.concatenate([np.fromiter(words.values(), np.int64, w), sums])),
-                ],
-                ["word", "a", "b", "n"],
-            )
-            words.clear()
+        coder, seen, pairs = _coder(path, shared), Counter(), []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if seen:
+                yield rows(word=pa.array(list(seen), pa.string()), n=pa.array(list(seen.values()), pa.int64()))
+            if pairs:
+                keys, place = np.unique(np.concatenate([k for k, _ in pairs]), return_inverse=True)
+                yield rows(pair=pa.array(keys), n=pa.array(np.bincount(place, np.concatenate([c for _, c in pairs])).astype(np.int64)))
+            seen.clear()
             pairs.clear()
-            return out
 
         for batch in pieces(batches):
-            stream = []
-            for text in texts_of(batch):
-                own = words_of(text)
-                words.update(own)
-                stream += [np.array([end], np.uint32), coder.code(own)]
-            stream.append(np.array([end], np.uint32))
-            ids = np.concatenate(stream).astype(np.int64)
-            pairs.append(np.unique(ids[:-1] << 20 | ids[1:], return_counts=True))
-            if len(words) > REMEMBERED or len(pairs) > 16:
-                yield flush()
-        yield flush()
-
-    return stage(arrow_map(training.select("text"), body, "word binary, a long, b long, n long"), "gathered")
-
-
-def sampled(rows: DataFrame, size: int) -> DataFrame:
-    """``size`` rows of least hash; the key is in the hash, so copies of a text don't stand together."""
-    return rows.orderBy(F.xxhash64("text", "key"), "key").limit(size)
-
-
-def fit(raw: DataFrame, sample: list[str], path: str, shared, end: int, size: int, n_classes: int, windows: int) -> tuple[Model, np.ndarray, np.ndarray]:
-    """The model, each raw id's number in it, and the log probability of rare ids among themselves.
-
-    The ``size`` most frequent ids are numbered; the others share one number.  At most
-    (size + 2) ** 2 pair counts reach the driver.
-    """
+            found = words(batch.column(0))
+            seen.update(dict(zip(found.spelled(), np.bincount(found.code, minlength=len(found.distinct)).tolist())))
+            ids, sizes = _ended(*coder.ids(found), end)
+            line = np.concatenate([[end], ids]).astype(np.int64)
+            pairs.append(np.unique(line[:-1] << 20 | line[1:], return_counts=True))
+            got, text, nth = windows(ids, sizes, end, end + 1)
+            draw = _draw(batch.column(1).to_numpy(), np.zeros(found.texts, np.int64))[text]
+            draw = _draw(draw, nth)
+            own = np.flatnonzero(draw < share * (1 << 32))
+            if len(own):
+                data = np.ascontiguousarray(got[own].astype("<u2"))
+                kept = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * data.shape[1]), len(own), [None, pa.py_buffer(data)])
+                yield rows(window=kept, draw=pa.array(draw[own]))
+            if len(seen) > REMEMBERED or len(pairs) > 16:
+                yield from flush()
+        yield from flush()
+
+    return stage(arrow_map(training.select("text", F.xxhash64("key").alias("hash")), body, "word string, pair long, n long, window binary, draw long"), "gathered")
+
+
+def _rows(column: pa.Array, number: np.ndarray) -> np.ndarray:
+    """Windows of model numbers from stored windows of raw ids."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), "<u2")
+    return number.take(raw).reshape(len(column), -1)
+
+
+def counted(raw: DataFrame, end: int, size: int, n_classes: int) -> tuple[Model, np.ndarray, np.ndarray]:
+    """The untrained model of all pair counts, each raw id's number in it (one more for filler), and the log probability
+    of rare ids among themselves.  At most (size + 2) ** 2 rows of eight bytes reach the driver."""
     spark = raw.sparkSession
-    pairs = raw.where("word is null").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    pairs = stage(pairs, "pairs")
-    singles = pairs.groupBy(F.col("b").alias("id")).agg(F.sum("n").alias("n")).collect()  # at most one row an id
-    count = np.zeros(end + 1, np.float64)
-    for r in singles:
+    pairs = stage(raw.where("pair is not null").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
+    later, earlier = F.col("pair").bitwiseAND(F.lit((1 << 20) - 1)), F.shiftright("pair", 20)
+    count = np.zeros(end + 1)
+    for r in pairs.groupBy(later.alias("id")).agg(F.sum("n").alias("n")).collect():  # at most one row an id
         count[r["id"]] = r["n"]
     ranked = [i for i in np.lexsort((np.arange(end), -count[:end])).tolist()[:size] if count[i]]
-    number = np.full(end + 1, size, np.int32)
+    number = np.full(end + 2, size, np.int32)
     number[ranked] = np.arange(len(ranked))
-    number[end] = size + 1
+    number[end:] = size + 1, size + 2
     rare = np.flatnonzero(number == size)
     log_rare = np.zeros(end + 1)
     log_rare[rare] = np.log((count[rare] + ADD) / (count[rare] + ADD).sum()) if len(rare) else 0
     told = F.broadcast(spark.createDataFrame([(i, int(number[i])) for i in ranked] + [(end, size + 1)], "id long, number int"))
-    folded = pairs.join(told.select(F.col("id").alias("a"), F.col("number").alias("x")), "a", "left").join(told.select(F.col("id").alias("b"), F.col("number").alias("y")), "b", "left")
-    folded = folded.groupBy(F.coalesce("x", F.lit(size)).alias("x"), F.coalesce("y", F.lit(size)).alias("y")).agg(F.sum("n").alias("n"))
-    got = folded.toPandas()
-    table = np.zeros((size + 2, size + 2))
-    table[got["x"].to_numpy(np.int64), got["y"].to_numpy(np.int64)] = got["n"].to_numpy(np.float64)
-    model = Model(Counts.from_pairs(table, n_classes))
-    coder = WordCoder(*shared.value)
-    texts = [np.append(number[coder.code(words_of(t))], size + 1) for t in sample]
-    if texts:
-        rows = Windows(texts, size + 1).rows
-        rng = np.random.default_rng(1)
-        model.train(rows[rng.permutation(len(rows))[:windows]])
-    return model, number, log_rare
+    sides = pairs.select(earlier.alias("a"), later.alias("b"), "n")
+    for side, name in (("a", "x"), ("b", "y")):
+        sides = sides.join(told.withColumnsRenamed({"id": side, "number": name}), side, "left")
+    place = F.coalesce("x", F.lit(size)) * F.lit(size + 2) + F.coalesce("y", F.lit(size))
+    got = sides.groupBy(place.alias("place")).agg(F.sum("n").cast("float").alias("n")).toArrow()
+    table = np.zeros((size + 2) ** 2)
+    table[got["place"].to_numpy()] = got["n"].to_numpy()
+    return Model(Counts.from_pairs(table.reshape(size + 2, size + 2), n_classes)), number, log_rare
+
+
+def fit(model: Model, raw: DataFrame, number: np.ndarray, expected: float, first_windows: int, epochs: int, rate: float = 0.01) -> None:
+    """Weights from ``first_windows`` windows on the driver, then from all windows by all tasks, averaged by how many each had.
+
+    Tasks send their weights in blocks; blocks are added up as they stream through tasks that hold one sum a block."""
+    spark = raw.sparkSession
+    stored = raw.where("window is not null").select("window", "draw")
+    # of more windows than are wanted, those of least draw; the cut leaves tasks little to send
+    some = stored.where(F.col("draw") < int(min(1.0, 2 * first_windows / max(1.0, expected)) * (1 << 32)))
+    first = [r["window"] for r in some.orderBy("draw", "window").limit(first_windows).collect()]
+    if not first:
+        return
+    model.train(_rows(pa.array(first, pa.binary()), number), epochs)
+    shared = spark.sparkContext.broadcast((model, number))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import copy
+
+        model, number = shared.value
+        adam, seen, rng = Adam(copy.deepcopy(model)), 0, np.random.default_rng(4)
+        for batch in batches:
+            rows = rng.permutation(_rows(batch.column(0), number))
+            for at in range(0, len(rows), 64):
+                adam.step(rows[at : at + 64], rate)
+            seen += len(rows)
+        if seen:
+            line = adam.model.flat().astype(np.float64) * seen
+            parts = [line[at : at + BLOCK].tobytes() for at in range(0, len(line), BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["block", "n", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for block, n, sums in zip(*(c.to_pylist() for c in batch.columns)):
+                own = held.setdefault(block, [0, 0.0])
+                own[0] += n
+                own[1] = own[1] + np.frombuffer(sums)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([s.tobytes() for _, s in held.values()], pa.binary())], ["block", "n", "sums"])
+
+    kind = "block int, n long, sums binary"
+    learned = arrow_map(stored.select("window"), learn, kind)
+    blocks = -(-len(model.flat()) // BLOCK)
+    by_block = sorted(arrow_map(learned.repartition(blocks, "block"), add, kind).collect())  # one row a block
+    model.unflat(np.concatenate([np.frombuffer(r["sums"]) / r["n"] for r in by_block]))
+
+
+def _tails(found: Words, known: np.ndarray) -> pa.ListArray:
+    """Per text its words that are not ``known``, with how often each occurs."""
+    rest = np.flatnonzero(~known[found.code])
+    keys, n = np.unique(found.of[rest] * np.int64(max(1, len(found.distinct))) + found.code[rest], return_counts=True)
+    of, code = np.divmod(keys, max(1, len(found.distinct)))
+    ends = np.searchsorted(of, np.arange(found.texts + 1))
+    pairs = pa.StructArray.from_arrays([found.distinct.take(pa.array(code)), pa.array(n.astype(np.int64))], ["word", "n"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
 
 
 def score(
@@ -154,59 +196,61 @@ def score(
     training: Column,
     key: str = "doc_id",
     size: int = 2048,
-    n_classes: int = 64,
+    n_classes: int = 128,
     broadcast_words: int = 40_000,
-    train_documents: int = 600,
-    train_windows: int = 20000,
+    share: float = 1 / 16,
+    least_windows: int = 40_000,
+    first_windows: int = 20_000,
 ) -> DataFrame:
     """(key, training, n_tokens, n_known, train_tokens, base_score, score) of every row; scores are base-10 logarithms."""
     spark = docs.sparkSession
     vocabulary = Vocabulary.load(vocabulary_path)
     shared = spark.sparkContext.broadcast((vocabulary.tokens, vocabulary.special))
     end = len(vocabulary.tokens)
+    if end + 1 >= 1 << 16:
+        raise ValueError("ids need 16 bits")
     rows = docs.select(F.col(key).alias("key"), F.coalesce("text", F.lit("")).alias("text"), training.alias("training"))
     learned = rows.where("training")
-    n_training = learned.count()
-    raw = gather(learned, vocabulary_path, shared, end)
+    n_training, n_bytes = learned.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    there = n_training + n_bytes / BYTES
+    share = max(share, min(1.0, least_windows / max(1.0, there)))
+    raw = gather(learned, vocabulary_path, shared, end, share)
     counts = stage(raw.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = total + n_training, distinct + (n_training > 0)
     below = np.log10(total + ADD * (distinct + 1))
-    chosen = sampled(learned, train_documents).select("text").collect()
-    model, number, log_rare = fit(raw, [r["text"] for r in chosen], vocabulary_path, shared, end, size, n_classes, train_windows)
-    top = {bytes(r["word"]): r["c"] for r in frequent(counts, "c", broadcast_words).collect()}
-    known = spark.sparkContext.broadcast((model, number, (log_rare / np.log(10)), {w: float(np.log10(c + ADD) - below) for w, c in top.items()}))
+    model, number, log_rare = counted(raw, end, size, n_classes)
+    # a small corpus is read several times over
+    fit(model, raw, number, there, first_windows, 2 if there > least_windows else 4)
+    top = {r["word"]: r["c"] for r in frequent(counts, "c", broadcast_words).collect()}
+    known = spark.sparkContext.broadcast((model, number, log_rare / np.log(10), {w: float(np.log10(c + ADD) - below) for w, c in top.items()}))
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, (lm, to_number, of_rare, frequent) = _coder(vocabulary_path, shared), known.value
+        coder, (lm, to_number, of_rare, often) = _coder(vocabulary_path, shared), known.value
         for batch in pieces(batches):
-            texts, sums, seen, lengths, rare, tails = [], [], [], [], [], []
-            for text in texts_of(batch):
-                words = words_of(text)
-                logs = list(map(frequent.get, words))
-                if None in logs:
-                    tail = Counter(w for w, x in zip(words, logs) if x is None)
-                    logs = [x for x in logs if x is not None]
-                else:
-                    tail = {}
-                ids = coder.code(words)
-                texts.append(np.append(to_number[ids], size + 1))
-                rare.append(float(of_rare[ids].sum()))
-                sums.append(sum(logs))
-                seen.append(len(logs))
-                lengths.append(len(words) + 1)
-                tails.append([{"word": w, "n": n} for w, n in tail.items()])
-            windows = Windows(texts, size + 1)
-            logs = lm.log_probabilities(windows).sum(1, dtype=np.float64)
-            model_score = np.bincount(windows.text, logs, len(texts)) / np.log(10) + rare
-            kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+            found = words(batch.column(1))
+            logs = np.array([often.get(w, np.nan) for w in found.spelled()], np.float64)
+            frequent_word = ~np.isnan(logs)
+            each = np.where(frequent_word, logs, 0.0)[found.code]
+            ids, sizes = coder.ids(found)
+            rare = np.bincount(np.repeat(np.arange(found.texts), sizes), of_rare.take(ids), found.texts)
+            got, text, _ = windows(*_ended(to_number.take(ids), sizes, size + 1), size + 1, size + 2)
+            own = np.bincount(text, lm.log_probabilities(got).sum(1, dtype=np.float64), found.texts) / np.log(10) + rare
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(lengths, pa.int64()), pa.array(seen, pa.int64()), pa.array(sums, pa.float64()), pa.array(model_score), pa.array(tails, kind)],
+                [
+                    batch.column(0),
+                    batch.column(2),
+                    pa.array(found.lengths() + 1, pa.int64()),
+                    pa.array(np.bincount(found.of, frequent_word[found.code], found.texts).astype(np.int64)),
+                    pa.array(np.bincount(found.of, each, found.texts).astype(np.float64)),
+                    pa.array(own),
+                    _tails(found, frequent_word),
+                ],
                 ["key", "training", "n_tokens", "seen", "base", "score", "tail"],
             )
 
     kind = rows.schema["key"].dataType.simpleString()
-    out = arrow_map(rows, body, f"key {kind}, training boolean, n_tokens long, seen long, base double, score double, tail array<struct<word: binary, n: long>>")
+    out = arrow_map(rows, body, f"key {kind}, training boolean, n_tokens long, seen long, base double, score double, tail array<struct<word: string, n: long>>")
     out = stage(out.withColumn("rid", F.monotonically_increasing_id()), "scored")
     tail = out.select("rid", F.explode("tail").alias("x")).select("rid", "x.word", "x.n").join(counts, "word", "left")
     part = F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADD)) - F.lit(float(below)))
