@@ -101,7 +101,7 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return warc.derivatives(pages).select("page_id", "record_type", "record_id", "refers_to", "target_uri", "payload_digest", "block_digest", "n_links", F.length("block").cast("long").alias("n_chars"), F.col("block").alias("text"))
+    return warc.derivatives(pages).select("page_id", "record_type", "record_id", "refers_to", "target_uri", "payload_digest", "block_digest", "n_links", F.length("block").cast("long").alias("n_chars"), "warc_headers", F.col("block").alias("text"))
 
 
 @query
