@@ -1,18 +1,19 @@
-"""Training order: a keyed permutation gives every sequence a slot, and slots are written to shards.
+"""Training order: a keyed permutation gives every sequence its slot, and slots are written to shards.
 
-Documents are encoded, ended, and cut into sequences of at most ``length`` ids.  A text of b bytes has at most
-ceil((b + 1) / length) sequences, so a cheap scan numbers all that may exist, 0..n-1; no ids are kept in between.
-A balanced Feistel network over the next even power of two permutes the numbers, and values of n or more
-walk on along their cycle.  Tasks own ranges of permuted numbers and write them in order, a shard for
-every ``per_shard`` numbers; slots count the sequences that exist, in that order.  Records have a fixed stride
-(a 16-bit count and ``length`` 16-bit ids), so a reader seeks to any slot and resumes there.
+Documents are encoded, ended, and cut into sequences of at most ``length`` ids.  A first pass encodes and keeps only how many
+sequences each task has, so all n are numbered 0..n-1 and no ids are kept in between.  A second pass encodes
+again; a balanced Feistel network over the next even power of two permutes the numbers, values of n or
+more walk on along their cycle, and the image is the sequence's slot.  Tasks own ranges of slots and write
+them in order: slot s stands in shard s // per_shard at place s % per_shard, and every shard but the last is full.
+Records have a fixed stride (a 16-bit count and ``length`` 16-bit ids), so a reader computes where a slot is and resumes there.
 
-Defined cases: a null or empty text is its end mark alone; rows whose key repeats or is null are
-documents of their own; an empty table writes no shard; other columns are not read.
+Defined cases: a null or empty text is its end mark alone; a very long text is as many sequences as it fills; rows whose key
+repeats or is null are documents of their own; an empty table writes no shard; other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,10 +24,15 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievector.llm.batches import arrow_map, pieces, texts_of
-from sievector.llm.subwords import Encoder, Vocabulary, encoder_of
+from sievector.llm.batch_encoder import BatchEncoder, ended
+from sievector.llm.batches import arrow_map, pieces
+from sievector.sources.files import open_fs, put_in_place
+from sievector.llm.subwords import Vocabulary, encoder_of
 from sievector.plans.staging import fresh_path, stage
 
+#: Shards that a task writes, at most.
+SHARDS = 8
+
 
 class Permutation:
     """A keyed bijection of 0..n-1."""
@@ -71,125 +77,130 @@ def _stir(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def bounds(docs: DataFrame, length: int) -> dict[int, int]:
-    """Sequences that each task's texts may have at most; one row a task reaches the driver."""
-    most = F.ceil((F.coalesce(F.octet_length("text"), F.lit(0)) + 1) / F.lit(length))
-    return {r[0]: r[1] for r in docs.select("text", F.spark_partition_id().alias("task")).groupBy("task").agg(F.sum(most)).collect()}
+def steady(docs: DataFrame) -> DataFrame:
+    """``docs`` if it is split alike whenever it is read, as files are; else a staged copy."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    nodes = re.findall(r"^[ :+-]*([A-Z]\w*)", plan.toString(), re.M)
+    return docs if plan.deterministic() and set(nodes) <= {"Project", "Filter", "Relation", "RelationV2", "LocalRelation", "LogicalRDD", "Range"} else stage(docs, "documents")
+
+
+def _cutter(path: str, shared):
+    return encoder_of(("order", path), lambda: BatchEncoder(Vocabulary(*shared.value)))
+
+
+def numbered(docs: DataFrame, path: str, shared, length: int) -> tuple[dict[int, tuple[int, int]], int]:
+    """(first number, sequences) of each task that has any, and the sum; one row a task reaches the driver."""
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        n = 0
+        for batch in pieces(batches):
+            _, sizes = _cutter(path, shared).encode(batch.column(1))
+            n += int((-(-(sizes + 1) // length)).sum())
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], ["task", "n"])
+
+    found, total = {}, 0
+    for task, n in sorted(map(tuple, arrow_map(docs, body, "task int, n long").collect())):
+        found[task] = (total, n)
+        total += n
+    return found, total
 
 
 def materialise(docs: DataFrame, vocabulary_path: str, seed: int = 17, length: int = 512, per_shard: int = 16384, end_id: int = 50256, key: str = "doc_id", folder: str | None = None) -> DataFrame:
     """Write the shards and return (key, part, n, slot, shard, offset, path, ids_crc32), one row a sequence.
 
-    ``docs`` must be split alike whenever it is read, as files are; each task checks its bound against
-    the first scan and fails if it differs.  A task writes whole shards under names of their own and
-    moves them into place, so a task that runs again leaves the same files.
+    A task writes whole shards under names of their own and moves them into place, so a task that runs again
+    leaves the same files.
     """
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "shards")
     vocabulary = Vocabulary.load(vocabulary_path)
     if len(vocabulary.tokens) > 1 << 16:
         raise ValueError("ids need 16 bits")
-    own = docs.select(F.col(key).alias("key"), "text")
-    sizes = bounds(own, length)
-    first, total = {}, 0
-    for task in sorted(sizes):
-        first[task] = total
-        total += sizes[task]
-    order = Permutation(total, seed)
-    shards = max(1, -(-total // per_shard))
-    tasks = min(shards, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    each = -(-shards // tasks)  # shards of a task, next to each other
+    own = steady(docs.select(F.col(key).alias("key"), "text"))
     shared = spark.sparkContext.broadcast((vocabulary.tokens, vocabulary.ranks, vocabulary.special))
-    mark = end_id.to_bytes(4, "little")
-    names = ["key", "part", "n", "place", "ids"]
+    tasks, total = numbered(own, vocabulary_path, shared, length)
+    told, order = spark.sparkContext.broadcast(tasks), Permutation(total, seed)
+    shards = max(1, -(-total // per_shard))
+    each = max(1, min(SHARDS, shards // int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task = TaskContext.get().partitionId()
-        encoder, number = encoder_of(("order", vocabulary_path), lambda: Encoder(Vocabulary(*shared.value), library=True)), first.get(task, 0)
+        first, there = told.value.get(TaskContext.get().partitionId(), (0, 0))
+        number = first
         for batch in pieces(batches):
-            texts = texts_of(batch)
-            at, part, size, data, numbers = [], [], [], [], []
-            for i, (text, raw) in enumerate(zip(texts, encoder.encode(texts))):
-                ids = np.frombuffer(raw + mark, "<u4").astype("<u2")
-                for k, start in enumerate(range(0, len(ids), length)):
-                    at.append(i)
-                    part.append(k)
-                    numbers.append(number + k)
-                    size.append(min(length, len(ids) - start))
-                    data.append(ids[start : start + length].tobytes())
-                number += -(-(len(text.encode("utf-8", "surrogatepass")) + 1) // length)
-            place = order.slot(np.array(numbers, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(part, pa.int64()), pa.array(size, pa.int64()), pa.array(place), pa.array(data, pa.binary())], names)
-        if number - first.get(task, 0) != sizes.get(task, 0):
-            raise RuntimeError("the documents were split otherwise than in the first scan")
+            ids, sizes = ended(*_cutter(vocabulary_path, shared).encode(batch.column(1)), end_id)
+            spans = -(-sizes // length)
+            at = np.repeat(np.arange(len(sizes)), spans)
+            part = np.arange(len(at)) - np.repeat(np.cumsum(spans) - spans, spans)
+            start = (np.cumsum(sizes) - sizes)[at] + part * length
+            size = np.minimum(length, sizes[at] - part * length)
+            slot = order.slot(number + np.arange(len(at)))
+            number += len(at)
+            # rows of the same bytes, one after another: offsets into one buffer
+            if number - first > there:
+                break
+            data = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(2 * start, 2 * len(ids)).astype(np.int32)), pa.py_buffer(ids.astype("<u2"))])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(part), pa.array(size), pa.array(slot), data], ["key", "part", "n", "slot", "ids"])
+        if number - first != there:
+            raise RuntimeError("the documents were split otherwise than in the first pass")
 
     kind = docs.schema[key].dataType.simpleString()
-    placed = arrow_map(own, cut, f"key {kind}, part long, n long, place long, ids binary")
-    by_task = F.floor(F.col("place") / F.lit(per_shard * each)).cast("int")
-    ranged = placed.repartitionById(tasks, by_task).sortWithinPartitions("place")
+    placed = arrow_map(own, cut, f"key {kind}, part long, n long, slot long, ids binary")
+    by_task = F.floor(F.col("slot") / F.lit(per_shard * each)).cast("int")
+    ranged = placed.repartitionById(-(-shards // each), by_task).sortWithinPartitions("slot")
     stride = 2 + 2 * length
-    out_names = ["key", "part", "n", "shard", "nth", "path", "ids_crc32"]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, base = pyarrow.fs.FileSystem.from_uri(folder)
+        files, base = open_fs(folder)
         files.create_dir(base, recursive=True)
-        held, stream, temporary, nth = None, None, "", 0
+        held, stream, temporary = None, None, ""
 
         def close() -> None:
             stream.close()
-            files.move(temporary, f"{base}/shard-{held:08d}.bin")
+            put_in_place(files, temporary, f"{base}/shard-{held:08d}.bin")
 
         for batch in batches:
             by = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
-            shard, crc, count = (by["place"].to_numpy() // per_shard).tolist(), [], []
+            shard, crc = (by["slot"].to_numpy() // per_shard).tolist(), []
             for to, n, ids in zip(shard, by["n"].to_pylist(), by["ids"].to_pylist()):
                 if to != held:
                     if stream:
                         close()
-                    held, nth, temporary = to, 0, f"{base}/.shard-{to:08d}-{fresh_name()}"
+                    held, temporary = to, f"{base}/.shard-{to:08d}-{uuid.uuid4().hex}"
                     stream = files.open_output_stream(temporary)
                 stream.write(n.to_bytes(2, "little") + ids + b"\0" * (2 * length - len(ids)))
                 crc.append(zlib.crc32(ids))
-                count.append(nth)
-                nth += 1
             paths = [f"{folder}/shard-{x:08d}.bin" for x in shard]
-            yield pa.RecordBatch.from_arrays([by["key"], by["part"], by["n"], pa.array(shard, pa.int64()), pa.array(count, pa.int64()), pa.array(paths, pa.string()), pa.array(crc, pa.int64())], out_names)
+            offset = by["slot"].to_numpy() % per_shard * stride
+            yield pa.RecordBatch.from_arrays(
+                [by["key"], by["part"], by["n"], by["slot"], pa.array(shard, pa.int64()), pa.array(offset), pa.array(paths, pa.string()), pa.array(crc, pa.int64())],
+                ["key", "part", "n", "slot", "shard", "offset", "path", "ids_crc32"],
+            )
         if stream:
             close()
 
-    index = stage(arrow_map(ranged, write, f"key {kind}, part long, n long, shard long, nth long, path string, ids_crc32 long"), "shard-index")
-    held = {r[0]: r[1] for r in index.groupBy("shard").count().collect()}  # one row a shard
-    starts, slot = [], 0
-    for shard in sorted(held):
-        starts.append((shard, slot))
-        slot += held[shard]
-    begins = spark.createDataFrame(starts or [(0, 0)], "shard long, begin long")
-    out = index.join(begins, "shard").select(F.col("key").alias(key), "part", "n", (F.col("begin") + F.col("nth")).alias("slot"), "shard", (F.col("nth") * stride).alias("offset"), "path", "ids_crc32")
-    return out
-
-
-def read(folder: str, slot: int, count: int, length: int = 512) -> Iterator[np.ndarray]:
-    """Ids of ``count`` slots from ``slot`` on, in order; stops at the last slot.  Shards' sizes tell where a slot is."""
-    files, base = pyarrow.fs.FileSystem.from_uri(folder)
-    stride, begin = 2 + 2 * length, 0
-    if files.get_file_info(base).type == pyarrow.fs.FileType.NotFound:
-        return
-    found = files.get_file_info(pyarrow.fs.FileSelector(base))
-    for file in sorted((f for f in found if f.base_name.startswith("shard-")), key=lambda f: f.base_name):
-        rows = file.size // stride
-        if slot < begin + rows and count > 0:
-            want = min(count, begin + rows - slot)
-            with files.open_input_file(file.path) as f:
-                f.seek((slot - begin) * stride)
-                data = f.read(want * stride)
-            for at in range(0, len(data), stride):
-                n = int.from_bytes(data[at : at + 2], "little")
-                yield np.frombuffer(data, "<u2", n, at + 2)
-            slot, count = slot + want, count - want
-        begin += rows
-
-
-def fresh_name() -> str:
-    return uuid.uuid4().hex
+    index = arrow_map(ranged, write, f"key {kind}, part long, n long, slot long, shard long, offset long, path string, ids_crc32 long")
+    return stage(index, "shard-index").withColumnRenamed("key", key)
+
+
+def read(folder: str, slot: int, count: int, length: int = 512, per_shard: int = 16384) -> Iterator[np.ndarray]:
+    """Ids of ``count`` slots from ``slot`` on, in order; stops at the last slot."""
+    files, base = open_fs(folder)
+    stride = 2 + 2 * length
+    while count > 0:
+        path, place = f"{base}/shard-{slot // per_shard:08d}.bin", slot % per_shard
+        if files.get_file_info(path).type == pyarrow.fs.FileType.NotFound:
+            return
+        with files.open_input_file(path) as f:
+            if f.size() <= place * stride:
+                return
+            f.seek(place * stride)
+            data = f.read(min(count, per_shard - place) * stride)
+        for at in range(0, len(data), stride):
+            n = int.from_bytes(data[at : at + 2], "little")
+            yield np.frombuffer(data, "<u2", n, at + 2)
+        slot, count = slot + len(data) // stride, count - len(data) // stride
