@@ -6,7 +6,7 @@ pack with the fewest tokens so far that still has room; packs of the same make-u
 Patterns go back to pieces by rank: pieces of one length are numbered 0, 1, ... and each slot of a pattern owns
 a range of those numbers.
 
-Defined cases: a null or empty text is its end mark alone; rows whose key repeats or is null are documents
+Defined cases: a null or empty text is its end mark alone; a very long text is cut like any other; rows whose key repeats or is null are documents
 of their own; an empty table gives an empty table; other columns are not read.
 """
 
@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievector.llm.batches import arrow_map, pieces, texts_of
-from sievector.llm.subwords import Encoder, Vocabulary, encoder_of
+from sievector.llm.batch_encoder import BatchEncoder, ended
+from sievector.llm.batches import arrow_map, pieces
+from sievector.llm.subwords import Vocabulary, encoder_of
 from sievector.plans.staging import stage
 
 
@@ -99,21 +100,18 @@ def cut(docs: DataFrame, vocabulary_path: str, capacity: int, end_id: int, key:
     """
     vocabulary = Vocabulary.load(vocabulary_path)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary.tokens, vocabulary.ranks, vocabulary.special))
-    mark = end_id.to_bytes(4, "little")
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(("pack", vocabulary_path), lambda: Encoder(Vocabulary(*shared.value), library=True))
+        encoder = encoder_of(("pack", vocabulary_path), lambda: BatchEncoder(Vocabulary(*shared.value)))
         for batch in pieces(batches):
-            rows, at = [], []
-            for i, ids in enumerate(encoder.encode(texts_of(batch))):
-                ids += mark
-                n = len(ids) // 4
-                for start in range(0, n, capacity):
-                    part = ids[4 * start : 4 * (start + capacity)]
-                    rows.append((start, len(part) // 4, zlib.crc32(part), n))
-                    at.append(i)
-            columns = zip(*rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(c, pa.int64()) for c in columns)], ["key", "start", "length", "ids_crc32", "doc_tokens"])
+            ids, sizes = ended(*encoder.encode(batch.column(1)), end_id)
+            spans = -(-sizes // capacity)
+            at = np.repeat(np.arange(len(sizes)), spans)
+            start = (np.arange(len(at)) - np.repeat(np.cumsum(spans) - spans, spans)) * capacity
+            length = np.minimum(capacity, sizes[at] - start)
+            begin, data = (np.cumsum(sizes) - sizes)[at] + start, memoryview(ids.astype("<u4")).cast("B")
+            crc = [zlib.crc32(data[4 * x : 4 * y]) for x, y in zip(begin.tolist(), (begin + length).tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(c, pa.int64()) for c in (start, length, crc, sizes[at]))], ["key", "start", "length", "ids_crc32", "doc_tokens"])
 
     kind = docs.schema[key].dataType.simpleString()
     return arrow_map(docs.select(F.col(key).alias("key"), "text"), body, f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long")
