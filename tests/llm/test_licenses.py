@@ -1,4 +1,5 @@
 import itertools
+import random
 import re
 
 import pytest
@@ -58,6 +59,35 @@ def test_common_licence(label, text, keys):
     assert label in {x[0] for x in index.scan(licenses.words_of("some words before " * 20 + text + " and after" * 20))}
 
 
+def test_against_every_place():
+    """Files with edited licences: the index finds what trying every template at every third place finds."""
+    rng = random.Random(11)
+    index = licenses.Index(licenses.rare_words(0, dict.fromkeys(licenses.licence_words(), 0)))
+    wanted = found = extra = 0
+    for _ in range(40):
+        words: list[bytes] = []
+        for t in rng.sample(range(len(index.words)), rng.randint(0, 3)):
+            words += [b"filler"] * rng.randint(0, 30)
+            for w in index.words[t]:
+                drawn = rng.random()
+                words += [] if drawn < 0.02 else [b"edited"] if drawn < 0.05 else [w, b"more"] if drawn < 0.07 else [w]
+        joined = b" " + b" ".join(words) + b" "
+        able = [t for t in range(len(index.words)) if all(k in joined for k in index.keys[t])]
+        every = {index.labels[t] for t in able if any(index._verify(t, at, words) for at in range(-3, len(words), 3))}
+        got = {x[0] for x in index.scan(words)}
+        wanted, found, extra = wanted + len(every), found + len(every & got), extra + len(got - every)
+    assert wanted > 30 and found >= 0.99 * wanted and extra <= 0.02 * wanted
+
+
+def test_table_of_copies(spark):
+    """A whole licence in every row, and one that a third of the rows has."""
+    whole = dict((label, text) for label, text, _ in licenses._WHOLE)
+    for label, other in itertools.permutations(("mit", "isc", "bsd-3-clause"), 2):
+        rows = [(i, whole[label] + (" " + whole[other] if i % 3 == 0 else "")) for i in range(30)]
+        for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+            assert {label, other} if r["doc_id"] % 3 == 0 else {label} <= {s["label"] for s in r["spans"]}
+
+
 def test_hot_group_and_one_row(spark):
     label, text, _ = licenses.TEMPLATES[0]
     other, another, _ = licenses.TEMPLATES[20]
