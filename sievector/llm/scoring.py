@@ -3,7 +3,7 @@
 One pass over the training texts gathers counts of words, counts of pairs of subword ids, and windows for the
 attention weights; the counts meet by partial sums and a shuffle, and cover every text.  Weights are first
 fitted on ``first_windows`` windows and then by all tasks side by side, each over the windows of its own texts, and
-averaged: one window in sixteen (``share``) of the whole training corpus, drawn by a hash of key and place, and all of them
+averaged: one window in eight (``share``) of the whole training corpus, drawn by a hash of key and place, and all of them
 while the corpus has fewer than ``least_windows``.  The most frequent ``broadcast_words`` words travel to the tasks; all
 others meet their counts in a join, so no count is left out.  The ``size`` most frequent ids have numbers of their own
 in the model; the others share one, and are told apart by how frequent they are.
@@ -198,7 +198,7 @@ def score(
     size: int = 2048,
     n_classes: int = 128,
     broadcast_words: int = 40_000,
-    share: float = 1 / 16,
+    share: float = 1 / 8,
     least_windows: int = 40_000,
     first_windows: int = 20_000,
 ) -> DataFrame:
