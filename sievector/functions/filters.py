@@ -25,7 +25,6 @@ _TOKEN = re.compile(
     |'(?P<single>(?:[^'\\]|\\.)*)'|"(?P<double>(?:[^"\\]|\\.)*)"|(?P<op>==|!=|>=|<=|>|<)|(?P<mark>[()\[\],]))""",
     re.X | re.S,
 )
-_CHAIN = re.compile(r"([+-]?[\d.]+(?:[eE][+-]?\d+)?)\s*(<=|<)\s*([A-Za-z_][A-Za-z0-9_.-]*)\s*(<=|<)\s*([+-]?[\d.]+(?:[eE][+-]?\d+)?)")
 _FLIP = {"<": ">", "<=": ">="}
 
 
@@ -126,6 +125,11 @@ class _Parser:
             node = self.either()
             self.take(")")
             return node
+        kinds = [(k, v if k == "op" else "") for k, v, _ in self.tokens[self.at : self.at + 5]]
+        if [k for k, _ in kinds] == ["number", "op", "word", "op", "number"] and kinds[1][1] in _FLIP and kinds[3][1] in _FLIP:
+            low, first, name, second, high = (v for _, v, _ in self.tokens[self.at : self.at + 5])
+            self.at += 5
+            return Logic("AND", Compare(name, _FLIP[first], low), Compare(name, second, high))
         if self.at >= len(self.tokens) or self.tokens[self.at][0] != "word":
             raise FilterError(f"expected a field at {self.place()}")
         name = self.tokens[self.at][1]
@@ -148,8 +152,7 @@ class _Parser:
 
 
 def parse(text: str) -> Node:
-    """The tree of a filter; chained ranges are spelled out first."""
-    text = _CHAIN.sub(lambda m: f"({m[3]} {_FLIP[m[2]]} {m[1]} AND {m[3]} {m[4]} {m[5]})", text)
+    """The tree of a filter."""
     if not text.strip():
         raise FilterError("the filter is empty")
     parser = _Parser(text)

@@ -21,6 +21,28 @@ def bucket_scaled(id_: Column, n: int, buckets: int) -> Column:
     return F.floor(id_ * F.lit(buckets) / F.lit(n)).cast("int")
 
 
+def bucket_mod(id_: Column, buckets: int) -> Column:
+    """Ids dealt round: id mod buckets."""
+    return F.pmod(id_, F.lit(buckets)).cast("int")
+
+
+def bucket_of_value(value: Column, highest: float) -> Column:
+    """A number over ceil(highest / 256), cut to a whole number."""
+    return F.try_divide(value.cast("double"), F.ceil(F.lit(float(highest)) / F.lit(256.0))).cast("int")
+
+
+def clean_value(text: Column) -> Column:
+    """A text without the white space around it, and without one pair of equal quotes around that."""
+    bare = F.trim(text)
+    quoted = (F.length(bare) >= 2) & F.substring(bare, 1, 1).isin("'", '"') & (F.substring(bare, 1, 1) == F.right(bare, F.lit(1)))
+    return F.when(quoted, bare.substr(F.lit(2), F.length(bare) - 2)).otherwise(bare)
+
+
+def clean_key(text: Column) -> Column:
+    """A key as part of a file name: everything but letters, digits, ``_``, ``-`` and ``.`` becomes ``_``."""
+    return F.regexp_replace(text, r"[^A-Za-z0-9_.-]", "_")
+
+
 def bucket_numeric(value: Column, low: Column, high: Column, bins: int) -> Column:
     """Equal-width bucket by truncation, clamped; 0 where the range is empty."""
     place = F.floor(F.try_divide(value - low, high - low) * F.lit(bins))
@@ -48,13 +70,13 @@ def row_token(columns: list[str], missing: str = "<missing>") -> Column:
 
 
 def date_in(text: Column) -> Column:
-    """The first ISO date in a text, or null."""
-    return F.nullif(F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2})", 1), F.lit(""))
+    """The first ISO date after the words "posted on", in any case, or null."""
+    return F.nullif(F.regexp_extract(text, r"(?i)posted\s+on\s+(\d{4}-\d{2}-\d{2})", 1), F.lit(""))
 
 
 def group_in(text: Column) -> Column:
-    """The quoted name after the word group or chat, in any case, or null."""
-    return F.nullif(F.regexp_extract(text, r"(?i)\b(?:group|chat)\s+[\"']([^\"']+)[\"']", 1), F.lit(""))
+    """The name in double quotes of the first: on the "name" group chat, in any case, or null."""
+    return F.nullif(F.regexp_extract(text, r'(?i)on\s+the\s+"(.*?)"\s+group\s+chat\b', 1), F.lit(""))
 
 
 def chunk_size(n_bytes: int) -> int:

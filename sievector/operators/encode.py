@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievector.functions import filters
 from sievector.functions.scalars import bucket_numeric
+from sievector.plans.staging import stage
 
 
 def usable_bins(buckets: int) -> int:
@@ -14,23 +16,34 @@ def usable_bins(buckets: int) -> int:
     return max(1, buckets - 1)
 
 
-def dictionary(rows: DataFrame, column: str, seed: list[str] | None = None) -> DataFrame:
-    """(value, bucket) of distinct present values: seeded values first in their order, the rest sorted.
+def numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """``rows`` with ``place`` from 0 in the given order, which has no ties: ranges are numbered side by side and begin where
+    the ranges before them end; one count a range reaches the driver."""
+    spark = rows.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stage(rows.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    begins, held = {}, 0
+    for r in sorted(dealt.groupBy("__range").count().collect()):
+        begins[r["__range"]], held = held, held + r["count"]
+    begin = F.element_at(F.create_map(*[F.lit(x) for pair in begins.items() for x in pair]), F.col("__range")) if begins else F.lit(0)
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return dealt.withColumn("place", begin + within).drop("__range")
+
 
-    The distinct values of an encodable column are few; wide columns are numbered by ``encode``'s numeric way.
-    """
+def dictionary(rows: DataFrame, column: str, seed: list[str] | None = None) -> DataFrame:
+    """(value, bucket) of distinct present values: seeded values first in their order, the rest sorted."""
     values = rows.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("value")).distinct()
     if not seed:
-        return values.withColumn("bucket", F.row_number().over(Window.orderBy("value")) - 1)
+        return numbered(values, "value").withColumnRenamed("place", "bucket")
     given = F.create_map(*[x for i, v in enumerate(seed) for x in (F.lit(v), F.lit(i))])
-    return values.withColumn("bucket", F.row_number().over(Window.orderBy(F.element_at(given, F.col("value")).asc_nulls_last(), "value")) - 1)
+    ranked = values.withColumn("__seed", F.coalesce(F.element_at(given, F.col("value")), F.lit(len(seed))))
+    return numbered(ranked, "__seed", "value").select("value", F.col("place").alias("bucket"))
 
 
 def first_come(rows: DataFrame, token: Column, order: str, buckets: int) -> DataFrame:
     """(token, bucket): numbers in order of first appearance; tokens beyond the buckets share them by hash."""
     firsts = rows.select(token.alias("token"), order).groupBy("token").agg(F.min(order).alias("first"))
-    place = F.row_number().over(Window.orderBy("first", "token")) - 1
-    return firsts.select("token", place.alias("place")).select("token", F.when(F.col("place") < buckets, F.col("place")).otherwise(F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")).alias("bucket"))
+    return numbered(firsts, "first", "token").select("token", F.when(F.col("place") < buckets, F.col("place")).otherwise(F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")).alias("bucket"))
 
 
 def profile(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -92,6 +105,12 @@ def inclusion(unique: Column, whole: Column) -> Column:
     return F.when(unique <= 256, F.lit("dictionary")).when(whole, F.lit("scaled")).otherwise(F.lit("excluded"))
 
 
+def coded(profiled: DataFrame, rows: DataFrame) -> DataFrame:
+    """A profile (``profile``) with ``coding``: how each column would be kept in a byte, by ``inclusion``."""
+    whole = [f.name for f in rows.schema if isinstance(f.dataType, T.IntegralType)]
+    return profiled.withColumn("coding", inclusion(F.col("unique_non_missing"), F.col("attr").isin(whole) if whole else F.lit(False)))
+
+
 def byte_code(value: Column, low: Column, high: Column) -> Column:
     """Alternative mapping of whole numbers: the offset if the range is below 256, else steps of range / 256."""
     return F.when(high - low < 256, value - low).otherwise(F.least(F.lit(255), F.floor((value - low) / F.ceil((high - low + 1) / F.lit(256))))).cast("int")

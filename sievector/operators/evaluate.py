@@ -59,6 +59,19 @@ def latency(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     return out.select(*by, "n", "mean", F.get("p", F.lit(0)).alias("p50"), F.get("p", F.lit(1)).alias("p95"), F.get("p", F.lit(2)).alias("p99"), F.try_divide(F.col("n") * 1e9, F.col("total")).alias("qps"))
 
 
+def rough_latency(rows: DataFrame, value: str, by: list[str], accuracy: int = 10_000) -> DataFrame:
+    """The same with percentiles off by at most 1 / ``accuracy`` in rank, from sketches of bounded size: for groups whose values
+    are too many to sort in one task."""
+    p = F.percentile_approx(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), accuracy)
+    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), p.alias("p"), F.sum(value).alias("total"))
+    return out.select(*by, "n", "mean", F.get("p", F.lit(0)).alias("p50"), F.get("p", F.lit(1)).alias("p95"), F.get("p", F.lit(2)).alias("p99"), F.try_divide(F.col("n") * 1e9, F.col("total")).alias("qps"))
+
+
+def counters(rows: DataFrame, names: list[str], by: list[str]) -> DataFrame:
+    """Sum and mean a query of each counter: (by..., queries, sum_<name>, mean_<name>)."""
+    return rows.groupBy(*by).agg(F.count("*").alias("queries"), *[f(n).alias(f"{kind}_{n}") for n in names for kind, f in (("sum", F.sum), ("mean", F.avg))])
+
+
 def medians_by_bin(rows: DataFrame, size: str, value: str) -> DataFrame:
     """Median of ``value`` by power-of-two bin of ``size``."""
     return rows.where(F.col(size) > 0).groupBy(pow2_bin(F.col(size)).alias("bin")).agg(F.count("*").alias("n"), F.median(value).alias("median_value"))

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import json
+import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievector.functions.scalars import share
+from sievector.plans.staging import stage
 
 
 def json_field(text: Column, path: str, kind: str = "string") -> Column:
@@ -32,6 +35,36 @@ def flatten(schema: T.StructType, prefix: str = "", column: str = "") -> list[Co
     return out
 
 
+def json_leaves(rows: DataFrame, column: str, key: str, depth: int = 32) -> DataFrame:
+    """(key, attr, value) of the leaves of JSON texts: nested objects under dotted names, arrays as JSON text; null
+    leaves, broken texts and texts that are no objects give nothing, and what is nested deeper than ``depth`` is kept as text."""
+    level = rows.select(F.col(key).alias("key"), F.lit("").alias("attr"), F.try_parse_json(column).alias("v"))
+    parts = []
+    kind = lambda: F.schema_of_variant("v")
+    level = level.where(kind().startswith("OBJECT"))
+    for at in range(depth):
+        level = stage(level, "json-level")
+        if not level.limit(1).count():
+            break
+        level.createOrReplaceTempView(view := f"json_level_{uuid.uuid4().hex}")
+        opened = rows.sparkSession.sql(f"SELECT l.key, concat(l.attr, x.key) AS attr, x.value AS v FROM {view} l, LATERAL variant_explode(l.v) x")
+        inside = kind().startswith("OBJECT") if at < depth - 1 else F.lit(False)
+        text = F.when(kind().startswith("ARRAY") | kind().startswith("OBJECT"), F.to_json("v")).otherwise(F.try_variant_get("v", "$", "string"))
+        parts.append(opened.where(~inside & F.col("v").isNotNull() & ~F.is_variant_null("v")).select("key", "attr", text.alias("value")))
+        level = opened.where(inside).select("key", F.concat("attr", F.lit(".")).alias("attr"), "v")
+    if not parts:
+        return level.select("key", "attr", F.lit("").alias("value"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def chosen_columns(sizes: DataFrame, budget: int) -> DataFrame:
+    """(attr, bytes, kept) of (attr, bytes, is_text): what stays when columns are dropped, texts before numbers and the smallest
+    first, until the rest fits the budget.  One row a column."""
+    order = Window.orderBy(F.col("is_text").desc(), "bytes", "attr").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.sum("bytes").over(Window.partitionBy()) - F.coalesce(F.sum("bytes").over(order), F.lit(0))
+    return sizes.select("attr", "bytes", (left <= budget).alias("kept"))
+
+
 def value_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(attr, value, n) of present values."""
     each = F.explode(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]))
@@ -77,17 +110,9 @@ def zone(wait: Column, dist: Column, lz4: Column) -> Column:
 
 
 def condition(text: Column, rule: str) -> Column:
-    """A test of a JSON text: ``KEY=VALUE`` with a value of its JSON type, or ``KEY=MIN:MAX`` with either end open.
-
-    Keys may be dotted."""
+    """A test of a JSON text: ``KEY=VALUE`` with a value of its JSON type.  Keys may be dotted; the value may hold any sign."""
     key, _, value = rule.partition("=")
     path = "$." + key
-    if ":" in value and not value.startswith('"'):
-        low, _, high = value.partition(":")
-        x = json_field(text, path, "double")
-        test = x.isNotNull()
-        test = test & (x >= float(low)) if low else test
-        return test & (x <= float(high)) if high else test
     try:
         typed = json.loads(value)
     except ValueError:
@@ -97,6 +122,18 @@ def condition(text: Column, rule: str) -> Column:
     return json_field(text, path, "double") == float(typed) if isinstance(typed, int | float) else json_field(text, path) == str(typed)
 
 
+def range_condition(text: Column, rule: str) -> Column:
+    """``KEY=MIN:MAX`` on numbers, both ends in it and either left open; an end that is no number is an error."""
+    key, _, value = rule.partition("=")
+    low, colon, high = value.partition(":")
+    if not colon:
+        raise ValueError(f"{rule!r} is no range")
+    x = json_field(text, "$." + key, "double")
+    test = x.isNotNull()
+    test = test & (x >= float(low)) if low else test
+    return test & (x <= float(high)) if high else test
+
+
 def parse_profile(lines: DataFrame) -> DataFrame:
     """(attr, unique_count) of a printed profile whose lines read ``field: NAME unique: COUNT``."""
     pattern = r"field:\s*(\S+)\s+unique:\s*(\d+)"

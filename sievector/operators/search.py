@@ -6,11 +6,12 @@ blocks of that size.  Base vectors are never broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +24,18 @@ QUERY_CELLS = 4 << 20
 BLOCK_CELLS = 4 << 20
 
 
+class VectorError(ValueError):
+    """A vector of another dimension than the queries, or a query set with several."""
+
+
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of a list column as doubles; a vector of another width is an error that names it."""
+    sizes = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)
+    if (sizes != width).any():
+        raise VectorError(f"a vector has {int(sizes[sizes != width][0])} elements, not {width}")
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), width)
+
+
 def where(base: DataFrame, predicate: str | Column | None) -> DataFrame:
     """Rows that satisfy a filter text or column."""
     if predicate is None:
@@ -38,7 +51,7 @@ def scored(base: DataFrame, queries: DataFrame, metric: str = "l2") -> DataFrame
     n, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
     if n * width > QUERY_CELLS:
         raise ValueError("too many queries for one block; use knn_blocks")
-    return base.crossJoin(F.broadcast(queries)).withColumn("dist", distance.COLUMNS[metric](F.col("q"), F.col("embedding"))).drop("q", "embedding")
+    return base.where("embedding is not null").crossJoin(F.broadcast(queries.where("q is not null"))).withColumn("dist", distance.COLUMNS[metric](F.col("q"), F.col("embedding"))).drop("q", "embedding")
 
 
 def nearest(pairs: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), tie: str = "vec_id") -> DataFrame:
@@ -63,21 +76,25 @@ def knn(base: DataFrame, queries: DataFrame, k: int, predicate: str | Column | N
 def knn_blocks(base: DataFrame, queries: DataFrame, k: int, predicate: str | Column | None = None, metric: str = "l2") -> DataFrame:
     """The same by matrix products over Arrow batches, for many queries.
 
-    A task holds a query block and k candidates a query; blocks of queries follow each other.
+    A task holds a query block and k candidates a query; blocks of queries follow each other.  Rows without a
+    vector are never near; queries without one have no results.
     """
     spark = base.sparkSession
     parts = []
     for ids, q in query_blocks(queries):
         shared = spark.sparkContext.broadcast((ids, q))
-        parts.append(where(base, predicate).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_partial(shared, k, metric), "query_id long, vec_id long, dist double"))
+        parts.append(where(base, predicate).where("embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_partial(shared, k, metric), "query_id long, vec_id long, dist double"))
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, dist double")
     return nearest(reduce(DataFrame.union, parts), k).select("query_id", "rank", "vec_id", "dist")
 
 
 def query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of the queries, in blocks of about ``QUERY_CELLS`` elements."""
-    n, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(1))).first()
+    """Ids and vectors of the queries that have one, in blocks of about ``QUERY_CELLS`` elements."""
+    queries = queries.where("q is not null")
+    n, width, least = queries.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(1)), F.coalesce(F.min(F.size("q")), F.lit(1))).first()
+    if n and width != least:
+        raise VectorError(f"queries have {least} to {width} elements")
     blocks = max(1, -(-n * width // QUERY_CELLS))
     for b in range(blocks):
         own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
@@ -94,7 +111,7 @@ def _partial(shared, k: int, metric: str):
             vectors = batch.column(1)
             for at in range(0, batch.num_rows, step := max(1, BLOCK_CELLS // len(q))):
                 part = vectors.slice(at, step)
-                rows = np.asarray(part.flatten(), np.float64).reshape(len(part), -1)
+                rows = matrix(part, q.shape[1])
                 own = batch.column(0).slice(at, step).to_numpy()
                 merge(best_d, best_id, np.arange(len(q)), q, own, rows, metric)
         keep = np.isfinite(best_d)
@@ -162,27 +179,42 @@ def candidates_needed(k: int, ef: int | None = None, break_factor: float | None
     return max(k, int(np.ceil(k * break_factor))) if break_factor else max(100, k)
 
 
-def beam(base: DataFrame, edges: DataFrame, queries: DataFrame, k: int, allowed: Column, gate: Column, ef: int, hops: int, entry: int = 0, metric: str = "l2") -> DataFrame:
+def beam(
+    base: DataFrame, edges: DataFrame, queries: DataFrame, k: int, allowed: Column, gate: Column, ef: int, hops: int, entry: int | DataFrame = 0, metric: str = "l2", enough: int | None = None, done: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Approximate gated walk (query_id, rank, vec_id, dist).
 
     All queries walk together, a hop a join: frontier rows meet their out-edges, rows that pass ``gate``
     and are new are scored, and the best ``ef`` a query are the next frontier.  ``allowed`` rows are results;
-    the entry row, from which every walk starts, is expanded and may be one.  State is
-    queries * ef * hops rows at most.
+    the entry row, from which every walk starts or which ``entry`` (query_id, vec_id) names for each, is expanded and may be one.
+
+    A query stops when its ``ef`` best results are all nearer than its frontier, when it has ``enough`` results (at most ``ef``), or
+    when ``done`` says so, which gets the best results so far (query_id, vec_id, dist, hop) and names queries (query_id).
+    Every hop writes its own rows and the best results only; state is queries * ef * hops rows at most.
     """
     from sievector.plans.staging import stage
 
-    nodes = base.select("vec_id", "embedding", allowed.alias("allowed"), gate.alias("gate"))
-    measure = lambda df: df.join(queries, "query_id").withColumn("dist", distance.COLUMNS[metric](F.col("q"), F.col("embedding"))).drop("q", "embedding")
-    start = queries.select("query_id", F.lit(entry).cast("long").alias("vec_id")).join(nodes, "vec_id")
-    seen = stage(measure(start).select("query_id", "vec_id", "allowed", "dist", F.lit(0).alias("hop")), "walk")
-    frontier = seen
+    nodes = base.where("embedding is not null").select("vec_id", "embedding", allowed.alias("allowed"), gate.alias("gate"))
+    asked = queries.where("q is not null")
+    measure = lambda df: df.join(asked, "query_id").withColumn("dist", distance.COLUMNS[metric](F.col("q"), F.col("embedding"))).drop("q", "embedding")
+    entries = asked.select("query_id", F.lit(entry).cast("long").alias("vec_id")) if isinstance(entry, int) else entry
+    start = entries.join(nodes, "vec_id")
+    width = max(k, ef)
+    frontier = stage(measure(start).select("query_id", "vec_id", "allowed", "dist", F.lit(0).alias("hop")), "walk")
+    seen, best = frontier.select("query_id", "vec_id"), frontier.where("allowed").drop("allowed")
     for hop in range(1, hops + 1):
         reached = frontier.join(edges.select(F.col("src").alias("vec_id"), "dst"), "vec_id").select("query_id", F.col("dst").alias("vec_id")).distinct()
         fresh = reached.join(seen, ["query_id", "vec_id"], "left_anti").join(nodes.where("gate"), "vec_id")
         found = stage(nearest(measure(fresh), ef).select("query_id", "vec_id", "allowed", "dist", F.lit(hop).alias("hop")), "walk")
         if not found.limit(1).count():
             break
-        seen = stage(seen.unionByName(found), "walk")
-        frontier = found
-    return nearest(seen.where("allowed"), k).select("query_id", "rank", "vec_id", "dist")
+        seen = seen.unionByName(found.select("query_id", "vec_id"))
+        best = stage(nearest(best.unionByName(found.where("allowed").drop("allowed")), width).drop("rank"), "best")
+        ranked = nearest(best, ef)
+        bound = ranked.groupBy("query_id").agg(F.count("*").alias("held"), F.max("dist").alias("bound"))
+        ahead = found.groupBy("query_id").agg(F.min("dist").alias("ahead"))
+        over = ahead.join(bound, "query_id").where((F.col("held") >= (ef if enough is None else min(ef, enough))) & ((F.col("ahead") > F.col("bound")) | F.lit(enough is not None))).select("query_id")
+        if done is not None:
+            over = over.unionByName(done(best).select("query_id"))
+        frontier = found.join(over.distinct(), "query_id", "left_anti")
+    return nearest(best, k).select("query_id", "rank", "vec_id", "dist")

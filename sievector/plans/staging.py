@@ -20,15 +20,22 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.sparkContext.getConf().get(_UNSET) or spark.conf.get(_UNSET, None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError(f"a cluster needs {_UNSET}: a folder that the driver and all executors share")
     found = "file://" + tempfile.mkdtemp(prefix="sievector-")
     spark.conf.set(_UNSET, found)
     spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """What this application stages."""
+    return f"{shared_dir(spark)}/sievector/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
     """A path in the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/sievector/{re.sub(r'[^A-Za-z0-9_-]', '_', tag)}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{re.sub(r'[^A-Za-z0-9_-]', '_', tag)}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, tag: str, partition_by: list[str] | None = None, codec: str = "snappy") -> DataFrame:
@@ -43,6 +50,6 @@ def stage(df: DataFrame, tag: str, partition_by: list[str] | None = None, codec:
 
 
 def release(spark: SparkSession) -> None:
-    """Delete every table staged under the shared folder.  Results that still read them must be written first."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/sievector")
+    """Delete every table that this application has staged.  Results that still read them must be written first."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

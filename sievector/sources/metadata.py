@@ -39,12 +39,15 @@ def json_text(text: Column, name: str, six_digits: bool = False) -> Column:
     return F.when(kind.rlike("^(DECIMAL\\(\\d+,[1-9]\\d*\\)|DOUBLE|FLOAT)"), F.format_string("%.6f", value.try_cast("double"))).otherwise(value)
 
 
-def read_jsonl(spark: SparkSession, path: str, fields: list[str], num_labels: int, six_digits: bool = False) -> tuple[DataFrame, DataFrame]:
+def read_jsonl(spark: SparkSession, path: str, fields: list[str], num_labels: int, six_digits: bool = False, exactly: bool = False) -> tuple[DataFrame, DataFrame]:
     """Row i of the file is label i: (label, fields...) and counters (total, populated, invalid).
 
     Blank, broken and non-object lines are invalid but use their label up; lines past ``num_labels`` are not read.
+    With ``exactly``, a file of fewer lines is an error.
     """
     lines = numbered_lines(spark, path).where(F.col("line") < num_labels)
+    if exactly and (there := lines.count()) < num_labels:
+        raise ValueError(f"{path} has {there} lines, not {num_labels}")
     valid = F.try_parse_json("value").isNotNull() & F.trim("value").startswith("{")
     rows = lines.select(F.col("line").alias("label"), valid.alias("valid"), *[F.when(valid, json_text(F.col("value"), f, six_digits)).alias(f) for f in fields])
     present = F.lit(False)

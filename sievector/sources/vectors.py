@@ -1,7 +1,7 @@
 """Vector files: records of a 32-bit dimension and that many elements, little-endian.
 
 ``.fvecs`` holds 32-bit floats, ``.bvecs`` unsigned bytes, ``.ivecs`` 32-bit integers.  The reader is a Spark data source
-whose partitions are row ranges of one file on a path that every machine sees.
+whose partitions are row ranges of one file, on a path or in a store that every machine sees.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from sievector.sources.files import open_fs, put_in_place, read_bytes, size_of
+
 #: Element types by suffix; fixed values of the format.
 KINDS = {".fvecs": ("<f4", "float"), ".bvecs": ("u1", "smallint"), ".ivecs": ("<i4", "int")}
 
@@ -42,11 +44,10 @@ def inspect(path: str) -> VectorFile:
     if suffix not in KINDS:
         raise VectorFileError(f"unknown vector file type {suffix!r}")
     dtype, sql = KINDS[suffix]
-    size = os.path.getsize(path)
+    size = size_of(path)
     if size < 4:
         raise VectorFileError(f"{path} is empty")
-    with open(path, "rb") as f:
-        dim = int(np.frombuffer(f.read(4), "<i4")[0])
+    dim = int(np.frombuffer(read_bytes(path, 0, 4), "<i4")[0])
     if dim <= 0:
         raise VectorFileError(f"{path} has dimension {dim}")
     found = VectorFile(path, dtype, sql, 0, dim)
@@ -57,9 +58,7 @@ def inspect(path: str) -> VectorFile:
 
 def read_rows(file: VectorFile, start: int, end: int) -> np.ndarray:
     """Rows [start, end) by one seek; fails where a record's dimension differs."""
-    with open(file.path, "rb") as f:
-        f.seek(start * file.stride)
-        raw = np.frombuffer(f.read((end - start) * file.stride), np.uint8).reshape(-1, file.stride)
+    raw = np.frombuffer(read_bytes(file.path, start * file.stride, (end - start) * file.stride), np.uint8).reshape(-1, file.stride)
     if (raw[:, :4].copy().view("<i4") != file.dim).any():
         raise VectorFileError(f"{file.path} has records of several dimensions")
     return raw[:, 4:].copy().view(file.dtype)
@@ -114,7 +113,8 @@ def write(rows: DataFrame, path: str) -> int:
     returns the rows.  A single file is the format's nature, so use it for query and ground-truth sets."""
     dtype, _ = KINDS[os.path.splitext(path)[1]]
     count = 0
-    with open(path, "wb") as f:
+    files, to = open_fs(path)
+    with files.open_output_stream(to, compression=None) as f:
         for r in rows.orderBy("vec_id").select("embedding").toLocalIterator(prefetchPartitions=True):
             values = np.asarray(r[0]).astype(dtype)
             f.write(np.int32(len(values)).tobytes() + values.tobytes())
@@ -130,17 +130,18 @@ def write_parts(rows: DataFrame, folder: str, suffix: str) -> DataFrame:
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        path = os.path.join(folder, f"part-{context.partitionId():05d}{suffix}")
-        partial, first, count = f"{path}.{context.taskAttemptId()}", None, 0
-        os.makedirs(folder, exist_ok=True)
-        with open(partial, "wb") as f:
+        files, base = open_fs(folder)
+        name = f"part-{context.partitionId():05d}{suffix}"
+        partial, first, count = f"{base}/.{name}.{context.taskAttemptId()}", None, 0
+        files.create_dir(base, recursive=True)
+        with files.open_output_stream(partial, compression=None) as f:
             for b in batches:
                 for key, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     first = key if first is None else first
                     values = np.asarray(v).astype(dtype)
                     f.write(np.int32(len(values)).tobytes() + values.tobytes())
                     count += 1
-        os.replace(partial, path)
-        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([first], pa.int64()), pa.array([count], pa.int64())], ["path", "first", "num"])
+        put_in_place(files, partial, f"{base}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([first], pa.int64()), pa.array([count], pa.int64())], ["path", "first", "num"])
 
     return rows.select("vec_id", "embedding").mapInArrow(body, "path string, first long, num long")

@@ -1 +1 @@
-"""Reserved: the engine this repository answers to is batch only, so no streaming operator is offered."""
+"""Searches and changes that arrive as streams."""
