@@ -6,7 +6,7 @@ equal sets are one class from the start.  Classes that agree in a band share a b
 sets are compared exactly, in blocks, and each block gives a spanning forest of its links instead of
 the links.  Components of the forests are those of the links.
 
-Defined cases: a null or wordless text has an empty set and is a component of its own; a text of fewer
+Defined cases: a null or wordless text has an empty set and is a component of its own; a very long text is compared whole; a text of fewer
 words than a shingle has its whole sequence as one; rows with equal ids are documents of their own;
 an id that is null never names a component that has other ids; extra columns are carried, not read.
 """
@@ -27,8 +27,8 @@ from sievector.plans.staging import stage
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Most classes in a block; a larger bucket is compared block by block.
-BLOCK = 1024
+#: Most classes in a block, and shingles about; a larger bucket is compared block by block.
+BLOCK, BLOCK_SHINGLES = 1024, 2 << 20
 #: Cells of the dense part of a block's incidence matrix that are held at once.
 CELLS = 16 << 20
 
@@ -211,13 +211,14 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     name = ["n_shingles", "set_a", "set_b"]
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "rid")).alias("first")
     classes = stage(seen.where("n_shingles > 0").groupBy(*name).agg(first), "classes").select(*name, "first", F.col("first.rid").alias("cid"))
-    banded = seen.join(classes.select(F.col("cid").alias("rid")), "rid").select(F.col("rid").alias("cid"), "mark", "key", F.posexplode("bands").alias("band", "value"))
+    banded = seen.join(classes.select(F.col("cid").alias("rid")), "rid").select(F.col("rid").alias("cid"), "mark", "key", "n_shingles", F.posexplode("bands").alias("band", "value"))
     cells = stage(banded, "cells")
 
     # Buckets of two or more classes; of buckets with the same members one is enough.
-    sums = cells.groupBy("band", "value").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y")).where("n > 1")
-    chosen = stage(sums.groupBy("n", "x", "y").agg(F.min(F.struct("band", "value")).alias("at")).select("at.*", "n", F.xxhash64("at.band", "at.value").alias("bucket")), "buckets")
-    members = stage(cells.join(chosen, ["band", "value"]).select("bucket", "n", "cid", "key", "mark"), "members")
+    sums = cells.groupBy("band", "value").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("held"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y")).where("n > 1")
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("int")
+    chosen = stage(sums.groupBy("n", "held", "x", "y").agg(F.min(F.struct("band", "value")).alias("at")).select("at.*", F.least(parts, "n").cast("int").alias("parts"), F.xxhash64("at.band", "at.value").alias("bucket")), "buckets")
+    members = stage(cells.join(chosen, ["band", "value"]).select("bucket", "parts", "cid", "key", "mark"), "members")
     needed = members.select("cid", F.col("key").alias("n_key"), F.col("mark").alias("n_mark")).distinct()
     texts = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
     # what grows with the corpus is never broadcast, however small it may look
@@ -228,9 +229,8 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(texts_of(batch), width)], pa.binary())], ["cid", "set"])
 
     sets = stage(arrow_map(wanted, full, "cid long, set binary"), "sets")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = members.withColumn("part", F.pmod(F.xxhash64("cid", F.lit(3)), parts).cast("int"))
-    spread = own.select("bucket", "cid", "part", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    own = members.withColumn("part", F.pmod(F.xxhash64("cid", F.lit(3)), F.col("parts")).cast("int"))
+    spread = own.select("bucket", "cid", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     pairs = spread.select("bucket", "cid", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") > F.col("other")).cast("int").alias("side"))
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = pairs.join(sets, "cid").repartition(shuffles, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
@@ -251,7 +251,7 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
 def keep(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
     """The rows of ``docs`` that stand for their group, with all their columns.
 
-    Rows go back to documents by key and text; of rows that repeat both, the table has one.
+    Rows go back to documents by key and text; of rows that repeat both, the one stays whose columns, written as JSON, come first.
     """
     found = components(docs, key=key, **how)
     stay = found.where("rid = keeper").select(F.col("key").alias("to_key"), F.col("mark").alias("to_mark")).distinct()
@@ -259,5 +259,5 @@ def keep(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
     rows = docs.select(row, F.col(key).alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
     out = rows.join(stay.hint("merge"), F.col("key").eqNullSafe(F.col("to_key")) & (F.col("mark") == F.col("to_mark")))
     if found.groupBy("key", "mark").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["key", "mark"])
+        out = out.groupBy("key", "mark").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return out.select("row.*")
