@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievector.llm import fingerprints, licenses, neardup, packing, quality, rules, scoring, subwords, training_order, warc
+from sievector.llm import base_sql, fingerprints, licenses, neardup, packing, quality, rules, scoring, subwords, training_order, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -108,3 +108,18 @@ def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = training_order.materialise(documents(spark, sf_dir), vocabulary_path())
     return out.select("doc_id", "part", F.col("n").alias("n_tokens"), "slot", "shard", "offset", "ids_crc32")
+
+
+# The columns that the contracts of other operators fix, which SQL can express; the operators themselves run for them.
+
+
+def _fixed(name: str, of: Callable[[SparkSession, str], DataFrame], columns: list[str], sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: of(spark, sf_dir).selectExpr(*columns)
+    ORACLE_SQL[name] = sql
+
+
+ORACLE_SQL["op7_minhash_dedup"] = base_sql.NEAR
+_fixed("lm_base_columns", op3_lm_score, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "round(base_score, 6) AS base_score"], base_sql.LM)
+_fixed("license_base_columns", op4_license_scan, ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"], base_sql.LICENCES)
+_fixed("rules_base_columns", op5_quality_rules, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"], base_sql.RULES)
+_fixed("fingerprint_base_columns", op8_cws_fingerprint, ["doc_id", "n_chars", "edited_sha256"], base_sql.EDITED)
