@@ -6,7 +6,7 @@ hash of (term, coordinate); with t = floor(ln(weight) / r + b) the least ln(c) -
 sample.  Two texts agree in a coordinate with the probability of their generalised Jaccard similarity,
 sum of lesser weights over sum of greater ones.
 
-Defined cases: a null or wordless text has no terms, and such texts are alike (1) and unlike all others
+Defined cases: a very long text is one row whose terms are all sampled; a null or wordless text has no terms, and such texts are alike (1) and unlike all others
 (0); rows that repeat a document's id and text are one document in the order and each get its result;
 equal ids are ordered by a hash of the text, null ids come first; one document alone is followed by itself.
 """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievector.llm import base_sql, fingerprints, licenses, neardup, packing, quality, rules, scoring, subwords, training_order, warc
+from sievector.llm import base_sql, encoding, fingerprints, licenses, neardup, packing, quality, rules, scoring, training_order, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,7 +38,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op1_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = subwords.encode(documents(spark, sf_dir), vocabulary_path())
+    coded = encoding.encode(documents(spark, sf_dir), vocabulary_path())
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

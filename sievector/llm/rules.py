@@ -4,7 +4,7 @@ Each rule votes good (1), bad (-1) or abstains (0).  Expectation-maximisation ov
 vote patterns (at most 3 ** len(RULES) rows, whatever the input) estimates how often each rule is
 right given each class, among documents that pass the base test; a document's posterior is the naive-Bayes combination of its votes.
 
-Defined cases: a null or blank text has no words, so it fails the base test; an empty table gives an
+Defined cases: a null or blank text has no words, so it fails the base test; a very long text is measured whole, as one row; an empty table gives an
 empty table; repeated rows are judged each for itself and alike; columns of the input other than
 ``doc_id`` and ``text`` are not read.
 """

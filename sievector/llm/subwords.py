@@ -4,7 +4,7 @@ A text is cut before each single space that a non-space follows.  No token of th
 crosses such a cut, so the parts can be encoded alone, and a worker remembers the parts it has seen.
 Words of new parts are looked up in the lexicon; words outside it are merged by rank.
 
-Defined cases: null is the empty text, which has no ids; repeated rows give equal rows; only the named
+Defined cases: null is the empty text, which has no ids; a very long text is encoded whole, and a very long word by a heap; repeated rows give equal rows; only the named
 text column and the key are read.
 """
 
@@ -12,20 +12,15 @@ from __future__ import annotations
 
 import json
 from array import array
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 import regex
 import tiktoken
-from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievector.llm import lexicon
-from sievector.llm.batches import arrow_map, pieces, texts_of
-from sievector.plans.staging import fresh_path, stage
 
 #: The splitting pattern of the byte-level vocabulary; a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -221,49 +216,6 @@ def encoder_of(key: object, make: Callable[[], Encoder]) -> Encoder:
     return _HELD[key]
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts, words as the splitting pattern cuts them."""
-
-    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, first, later = regex.compile(PATTERN).findall, Counter(), Counter()
-
-        def flush() -> pa.RecordBatch:
-            words: Counter = Counter()
-            for lead, parts in (("", first), (" ", later)):
-                for p, n in parts.items():
-                    for w in split(lead + p):
-                        words[w] += n
-            first.clear()
-            later.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
-
-        for batch in pieces(batches):
-            for text in texts_of(batch):
-                head, *rest = text.split(" ")
-                if "" in rest or " \n" in text or " \t" in text:
-                    head, rest = Encoder._joined(head, rest)
-                first[head] += 1
-                later.update(rest)
-            if len(later) > REMEMBERED:
-                yield flush()
-        yield flush()
-
-    return arrow_map(docs.select("text"), body, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def put_file(spark: SparkSession, data: bytes, tag: str) -> str:
-    """Write ``data`` to the shared folder and hand it to every executor; returns its name for ``SparkFiles.get``."""
-    path = fresh_path(spark, tag)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
-    for i in range(0, len(data), 1 << 20):
-        out.write(bytearray(data[i : i + (1 << 20)]))
-    out.close()
-    spark.sparkContext.addFile(path)
-    return path.rsplit("/", 1)[1]
-
-
 def frequent(counts: DataFrame, n: str, size: int) -> DataFrame:
     """The most frequent rows of ``counts``, at most ``size`` of them.
 
@@ -277,31 +229,3 @@ def frequent(counts: DataFrame, n: str, size: int) -> DataFrame:
             break
         least = r["n"]
     return counts.where(F.col(n) >= least) if least else counts.limit(0)
-
-
-def compile_lexicon(spark: SparkSession, counts: DataFrame, vocabulary: Vocabulary, size: int) -> str:
-    """The automaton of the most frequent words, at most ``size``, as a file on all executors."""
-    top = frequent(stage(counts, "words"), "n", size).collect()
-    entries = {r["word"].encode(): vocabulary.merge(r["word"].encode()) for r in top}
-    return put_file(spark, lexicon.to_bytes(lexicon.build(entries)), "lexicon")
-
-
-def encode(docs: DataFrame, vocabulary_path: str, key: str = "doc_id", lexicon_words: int = 40_000) -> DataFrame:
-    """(key, ids, decoded): ids as little-endian unsigned 32-bit integers, and the text that they stand for.
-
-    One pass counts words, the driver compiles the most frequent ``lexicon_words`` (a bound on what
-    the driver and each executor hold, not on what is encoded), a second pass encodes and decodes.
-    """
-    spark = docs.sparkSession
-    vocabulary = Vocabulary.load(vocabulary_path)
-    name = compile_lexicon(spark, count_words(docs), vocabulary, lexicon_words)
-    shared = spark.sparkContext.broadcast((vocabulary.tokens, vocabulary.ranks, vocabulary.special))
-
-    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(name, lambda: Encoder(Vocabulary(*shared.value), lexicon.Lexicon(SparkFiles.get(name))))
-        for batch in pieces(batches):
-            ids = encoder.encode(texts_of(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(map(encoder.decode, ids), pa.string())], ["key", "ids", "decoded"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return arrow_map(docs.select(F.col(key).alias("key"), "text"), body, f"key {kind}, ids binary, decoded string").withColumnRenamed("key", key)

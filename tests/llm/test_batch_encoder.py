@@ -4,7 +4,8 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from sievector.llm.batch_encoder import BatchEncoder, ended
+from sievector.llm import lexicon
+from sievector.llm.batch_encoder import BatchEncoder, LexiconEncoder, ended
 from sievector.llm.subwords import Vocabulary
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -14,9 +15,17 @@ ODD = [
 ]
 
 
-@pytest.fixture(scope="module")
-def encoder():
-    return BatchEncoder(Vocabulary.load(PATH))
+@pytest.fixture(scope="module", params=["library", "merged", "lexicon"])
+def encoder(request, tmp_path_factory):
+    """Through the library, by merges alone, and with the automaton of a few words."""
+    vocabulary = Vocabulary.load(PATH)
+    if request.param == "library":
+        return BatchEncoder(vocabulary)
+    if request.param == "merged":
+        return LexiconEncoder(vocabulary)
+    path = tmp_path_factory.mktemp("lexicon") / "words"
+    path.write_bytes(lexicon.to_bytes(lexicon.build({w: vocabulary.merge(w) for w in (b" the", b" of", b"plain", b" here", b"\n", b"  ")})))
+    return LexiconEncoder(vocabulary, lexicon.Lexicon(str(path)))
 
 
 def test_as_the_library(encoder, documents):

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from sievector.llm import lexicon, subwords
+from sievector.llm import encoding, lexicon, subwords
 from sievector.llm.queries import op1_bpe_encode, vocabulary_path
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -81,12 +81,12 @@ def test_automaton_shares_suffixes():
 
 def test_operator(spark, odd, none, clashing, library):
     for docs in (odd, clashing):
-        got = subwords.encode(docs, PATH).collect()
+        got = encoding.encode(docs, PATH).collect()
         want = {(r["doc_id"], r["text"] or "") for r in docs.collect()}
         assert {(r["doc_id"], r["decoded"]) for r in got} == want and len(got) == docs.count()
         for r in got:
             assert np.frombuffer(r["ids"], "<u4").tolist() == library.encode(r["decoded"], add_special_tokens=False).ids
-    assert subwords.encode(none, PATH).count() == 0
+    assert encoding.encode(none, PATH).count() == 0
 
 
 def test_query(spark, library):
