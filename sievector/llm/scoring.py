@@ -31,8 +31,8 @@ from sievector.plans.staging import stage
 
 #: Base smoothing; a fixed value.
 ADD = 0.1
-#: Text bytes in a window of new ids, about; weights in a row of their table.
-BYTES, BLOCK = 80, 1 << 14
+#: Text bytes in a window of new ids, about; weights in a row of their table; tasks whose weights one task adds up.
+BYTES, BLOCK, FAN = 80, 1 << 14, 64
 
 _CODERS: dict[str, Coder] = {}
 
@@ -174,8 +174,11 @@ def fit(model: Model, raw: DataFrame, number: np.ndarray, expected: float, first
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([s.tobytes() for _, s in held.values()], pa.binary())], ["block", "n", "sums"])
 
     kind = "block int, n long, sums binary"
-    learned = arrow_map(stored.select("window"), learn, kind)
-    blocks = -(-len(model.flat()) // BLOCK)
+    own = stored.select("window")
+    learned, tasks, blocks = arrow_map(own, learn, kind), own.rdd.getNumPartitions(), -(-len(model.flat()) // BLOCK)
+    while tasks > FAN:  # a tree of sums: a task never reads more than the rows of FAN tasks
+        tasks = -(-tasks // FAN)
+        learned = arrow_map(learned.repartition(tasks * blocks, "block", F.pmod(F.spark_partition_id(), F.lit(tasks))), add, kind)
     by_block = sorted(arrow_map(learned.repartition(blocks, "block"), add, kind).collect())  # one row a block
     model.unflat(np.concatenate([np.frombuffer(r["sums"]) / r["n"] for r in by_block]))
 

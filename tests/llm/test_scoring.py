@@ -45,6 +45,20 @@ def test_base_score(odd, none, clashing, documents):
     assert scoring.score(none, PATH, rule, **SMALL).count() == 0
 
 
+def test_sums_by_a_tree(documents, monkeypatch):
+    """Weights added up over several levels are those added up at once."""
+    docs, rule = documents.repartition(7, "doc_id"), F.col("doc_id") % 3 != 0
+    monkeypatch.setattr(scoring, "stage", lambda df, tag, f=scoring.stage: f(df.repartition(7, *df.columns) if tag == "gathered" else df, tag))
+    docs.sparkSession.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        flat = {r["doc_id"]: r["score"] for r in scoring.score(docs, PATH, rule, **SMALL).collect()}
+        monkeypatch.setattr(scoring, "FAN", 2)
+        tree = {r["doc_id"]: r["score"] for r in scoring.score(docs, PATH, rule, **SMALL).collect()}
+    finally:
+        docs.sparkSession.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert all(abs(flat[k] - tree[k]) < 1e-3 * abs(flat[k]) for k in flat)
+
+
 def test_nothing_to_learn_from(odd):
     found = scoring.score(odd, PATH, F.lit(False), **SMALL).collect()
     same(found, [(r["doc_id"], r["text"], False) for r in odd.collect()])
