@@ -138,25 +138,71 @@ def merge(best_d: np.ndarray, best_id: np.ndarray, who: np.ndarray, q: np.ndarra
         best_d[to], best_id[to] = d[order], v[order]
 
 
+def places(base: DataFrame, queries: DataFrame, found: DataFrame, metric: str = "l2") -> DataFrame:
+    """(query_id, vec_id, place): where rows of ``found`` (query_id, vec_id, dist) stand among all rows, from 1, ties by id.
+
+    Counts of nearer rows, a number a query and row of ``found``, are all that tasks hold and send.
+    """
+    spark, parts = base.sparkSession, []
+    for ids, q in query_blocks(queries):
+        own = found.join(F.broadcast(spark.createDataFrame([(int(i),) for i in ids], "query_id long")), "query_id")
+        row, marks = {i: n for n, i in enumerate(ids.tolist())}, [[] for _ in ids]
+        for r in own.select("query_id", "vec_id", "dist").collect():  # k rows a query of the block
+            marks[row[r["query_id"]]].append((r["dist"], r["vec_id"]))
+        k = max(map(len, marks))
+        if not k:
+            continue
+        dist, vec = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+        for i, own_marks in enumerate(marks):
+            for j, (d, v) in enumerate(own_marks):
+                dist[i, j], vec[i, j] = d, v
+        shared = spark.sparkContext.broadcast((ids, q, dist, vec))
+
+        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q, dist, vec = shared.value
+            nearer = np.zeros(dist.shape, np.int64)
+            for batch in batches:
+                for at in range(0, batch.num_rows, step := max(1, BLOCK_CELLS // len(q))):
+                    rows, own = matrix(batch.column(1).slice(at, step), q.shape[1]), batch.column(0).slice(at, step).to_numpy()
+                    rough = distance.block(q, rows, metric)
+                    slack = 1e-9 * (1 + np.abs(rough).max())
+                    for j in range(dist.shape[1]):
+                        below, upto = rough < dist[:, j : j + 1] - slack, rough <= dist[:, j : j + 1] + slack
+                        nearer[:, j] += below.sum(1)
+                        qi, ri = np.nonzero(upto & ~below)  # within rounding of the mark
+                        exact = distance.pairs(q[qi], rows[ri], metric)
+                        before = (exact < dist[qi, j]) | (exact == dist[qi, j]) & (own[ri] < vec[qi, j])
+                        nearer[:, j] += np.bincount(qi, before, len(q)).astype(np.int64)
+            there = np.isfinite(dist)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, there.sum(1))), pa.array(vec[there]), pa.array(nearer[there])], ["query_id", "vec_id", "nearer"])
+
+        rows = base.where("embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+        parts.append(rows.mapInArrow(count, "query_id long, vec_id long, nearer long"))
+    if not parts:
+        return spark.createDataFrame([], "query_id long, vec_id long, place long")
+    return reduce(DataFrame.union, parts).groupBy("query_id", "vec_id").agg((F.sum("nearer") + 1).alias("place"))
+
+
 def post_filter(base: DataFrame, queries: DataFrame, k: int, predicate: str | Column, max_candidates: int, metric: str = "l2") -> DataFrame:
     """Iterative post-filter (query_id, rank, vec_id, dist, candidates): the nearest c rows are filtered, and c
     doubles from k until k survive or c reaches the cap.
 
-    Rows are ranked once, down to the cap; the c that the loop would stop at follows from the ranks of survivors.
+    The c that the loop would stop at follows from where the k nearest survivors stand among all rows, so nothing as
+    large as the cap is ranked or kept.
     """
-    cap = min(max_candidates, base.count())
+    from sievector.plans.staging import stage
+
+    cap = min(max_candidates, base.where("embedding is not null").count())
     ladder = [k]
     while ladder[-1] < cap:
         ladder.append(min(2 * ladder[-1], cap))
     ladder[0] = min(k, cap)
-    allowed = where(base, predicate).select("vec_id")
-    kept = knn(base, queries, cap, metric=metric).join(allowed, "vec_id", "left_semi")
-    order = Window.partitionBy("query_id").orderBy("rank")
-    kept = kept.withColumn("nth", F.row_number().over(order))
-    kth = F.max(F.when(F.col("nth") == k, F.col("rank"))).over(Window.partitionBy("query_id"))
+    found = stage(knn(base, queries, k, predicate, metric), "survivors")
+    kept = found.join(places(base, queries, found, metric), ["query_id", "vec_id"])
+    kth = F.max(F.when(F.col("rank") == k, F.col("place"))).over(Window.partitionBy("query_id"))
     stop = reduce(lambda x, c: F.when(kth <= c, F.lit(c)).otherwise(x), reversed(ladder), F.lit(cap))
-    kept = kept.withColumn("candidates", stop).where((F.col("rank") <= F.col("candidates")) & (F.col("nth") <= k))
-    return kept.select("query_id", F.col("nth").alias("rank"), "vec_id", "dist", "candidates")
+    kept = kept.withColumn("candidates", stop).where(F.col("place") <= F.col("candidates"))
+    return kept.select("query_id", "rank", "vec_id", "dist", "candidates")
 
 
 def radius(base: DataFrame, queries: DataFrame, epsilon: float, limit: int, predicate: str | Column | None = None, metric: str = "l2") -> DataFrame:

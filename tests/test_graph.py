@@ -59,6 +59,29 @@ def parts(base):
     return nodes, both, attributes, held
 
 
+def test_connected_or_reported(spark):
+    """A path with no bound on its hops, and two islands."""
+    line = [(i, i + 1) for i in range(4)] + [(20, 21)]
+    edges = spark.createDataFrame([(a, b) for x in line for a, b in (x, x[::-1])], "src long, dst long")
+    buckets = spark.createDataFrame([(i, 1 if i in (0, 4) else 0) for i in range(5)] + [(20, 1), (21, 2)], "vec_id long, bucket int")
+    starts = spark.createDataFrame([(0, 1)], "node_id long, bucket int")
+    for hops, reach in ((3, []), (None, [(4, 4)])):
+        found, paths = graph.first_same_bucket(edges, buckets, starts, 1, hops)
+        assert [(r["target"], r["hop"]) for r in found.collect()] == reach
+    held = graph.bits(buckets, paths.select(F.col("node").alias("node_id"), "bucket"), n_buckets=256)
+    assert {r["bucket"]: r["components"] for r in graph.unconnected(edges, buckets, held).collect()} == {0: 1, 1: 2, 2: 1}
+
+
+def test_places(spark, base):
+    """Against the rank among all rows, with equal vectors under other ids."""
+    rows = base.select("vec_id", "label", "embedding")
+    rows = rows.unionByName(rows.where("vec_id < 20").withColumn("vec_id", F.col("vec_id") + 10000))
+    queries = base.where("vec_id < 6").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    every = {(r["query_id"], r["vec_id"]): r["rank"] for r in search.knn(rows, queries, 10**4).collect()}
+    got = search.places(rows, queries, search.knn(rows, queries, 7, "label == 3")).collect()
+    assert len(got) == 42 and all(every[r["query_id"], r["vec_id"]] == r["place"] for r in got)
+
+
 def test_gates(base):
     """Against sets in Python: own bucket or bitmap, by the tree; bitmaps alone; and any leaf at all."""
     nodes, _, attributes, held = parts(base)
