@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet into the
 shared folder and gives the rows read back to the next stage.  All but the last keep the columns of
 ``documents``.  Rows are judged one by one, so repeated or null ids neither multiply nor vanish in joins.
+
+Defined cases: a null or empty text has no words, so the rules drop it; very long texts go through whole; an empty table gives
+an empty result of the same columns; extra columns come along through all filters, whatever their names, and the last stage
+returns its own columns only; without labels no classifier can be fitted, every score is 0.5, and no document is kept.
 """
 
 from __future__ import annotations
