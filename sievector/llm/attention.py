@@ -82,7 +82,8 @@ def windows(ids: np.ndarray, sizes: np.ndarray, end: int, filler: int) -> tuple[
     text = np.repeat(np.arange(len(sizes)), spans)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(spans) - spans, spans)
     at = first[text] + SPAN * nth
-    return stream.take(at[:, None] + np.arange(BEFORE + SPAN + 1)), text, nth
+    rows = np.lib.stride_tricks.sliding_window_view(stream, BEFORE + SPAN + 1)[at] if len(at) else np.empty((0, BEFORE + SPAN + 1), np.int32)
+    return rows, text, nth
 
 
 class Model:

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 MAX_ROWS, MAX_BYTES = 2048, 4 << 20
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``MAX_ROWS`` rows and, single rows apart, ``MAX_BYTES`` of ``column``."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = MAX_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``MAX_ROWS`` rows and, single rows apart, ``most`` bytes of ``column``."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -22,7 +22,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         sizes = [0] * batch.num_rows if at < 0 else pa.compute.binary_length(batch.column(at)).to_pylist()
         for i, size in enumerate(sizes):
             size = size or 0
-            if i > start and (held + size > MAX_BYTES or i - start >= MAX_ROWS):
+            if i > start and (held + size > most or i - start >= MAX_ROWS):
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += size

@@ -31,6 +31,8 @@ from sievector.plans.staging import stage
 
 #: Base smoothing; a fixed value.
 ADD = 0.1
+#: Text bytes that a worker holds at once: windows take many times that.
+PIECE = 3 << 19
 #: Text bytes in a window of new ids, about; weights in a row of their table; tasks whose weights one task adds up.
 BYTES, BLOCK, FAN = 80, 1 << 14, 64
 
@@ -80,7 +82,7 @@ def gather(training: DataFrame, path: str, shared, end: int, share: float) -> Da
             seen.clear()
             pairs.clear()
 
-        for batch in pieces(batches):
+        for batch in pieces(batches, most=PIECE):
             found = words(batch.column(0))
             seen.update(dict(zip(found.spelled(), np.bincount(found.code, minlength=len(found.distinct)).tolist())))
             ids, sizes = _ended(*coder.ids(found), end)
@@ -230,7 +232,7 @@ def score(
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, (lm, to_number, of_rare, often) = _coder(vocabulary_path, shared), known.value
-        for batch in pieces(batches):
+        for batch in pieces(batches, most=PIECE):
             found = words(batch.column(1))
             logs = np.array([often.get(w, np.nan) for w in found.spelled()], np.float64)
             frequent_word = ~np.isnan(logs)

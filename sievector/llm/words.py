@@ -61,6 +61,6 @@ class Coder:
             raise ValueError("a word's ids do not fall apart")
         size = np.diff(starts, append=len(pool)).take(found.code)
         ends = np.cumsum(size)
-        at = np.repeat(starts.take(found.code) - (ends - size), size)
-        at += np.arange(len(at))
+        at = np.repeat((starts.take(found.code) - (ends - size)).astype(np.int32), size)
+        at += np.arange(len(at), dtype=np.int32)
         return pool.take(at), np.bincount(found.of, size, found.texts).astype(np.int64)
