@@ -2,9 +2,8 @@
 
 One pass over the training texts gathers counts of words, counts of pairs of subword ids, and windows for the
 attention weights; the counts meet by partial sums and a shuffle, and cover every text.  Weights are first
-fitted on ``first_windows`` windows and then by all tasks side by side, each over the windows of its own texts, and
-averaged: one window in eight (``share``) of the whole training corpus, drawn by a hash of key and place, and all of them
-while the corpus has fewer than ``least_windows``.  The most frequent ``broadcast_words`` words travel to the tasks; all
+fitted on ``first_windows`` windows, drawn by a hash of key and place, and then by all tasks side by side, each over every
+window of its own texts, and averaged.  Passes and shares are the same whatever the size of the corpus.  The most frequent ``broadcast_words`` words travel to the tasks; all
 others meet their counts in a join, so no count is left out.  The ``size`` most frequent ids have numbers of their own
 in the model; the others share one, and are told apart by how frequent they are.
 
@@ -32,7 +31,7 @@ from sievector.plans.staging import stage
 #: Base smoothing; a fixed value.
 ADD = 0.1
 #: Text bytes that a worker holds at once: windows take many times that.
-PIECE = 3 << 19
+PIECE = 1 << 19
 #: Text bytes in a window of new ids, about; weights in a row of their table; tasks whose weights one task adds up.
 BYTES, BLOCK, FAN = 80, 1 << 14, 64
 
@@ -203,11 +202,13 @@ def score(
     size: int = 2048,
     n_classes: int = 128,
     broadcast_words: int = 40_000,
-    share: float = 1 / 8,
-    least_windows: int = 40_000,
+    share: float = 1.0,
+    least_windows: int | None = None,
     first_windows: int = 20_000,
 ) -> DataFrame:
-    """(key, training, n_tokens, n_known, train_tokens, base_score, score) of every row; scores are base-10 logarithms."""
+    """(key, training, n_tokens, n_known, train_tokens, base_score, score) of every row; scores are base-10 logarithms.
+
+    Weights learn from ``share`` of the windows, by default every one; ``least_windows`` is accepted for callers of earlier versions, and unused."""
     spark = docs.sparkSession
     vocabulary = Vocabulary.load(vocabulary_path)
     shared = spark.sparkContext.broadcast((vocabulary.tokens, vocabulary.special))
@@ -218,15 +219,13 @@ def score(
     learned = rows.where("training")
     n_training, n_bytes = learned.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     there = n_training + n_bytes / BYTES
-    share = max(share, min(1.0, least_windows / max(1.0, there)))
     raw = gather(learned, vocabulary_path, shared, end, share)
     counts = stage(raw.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = total + n_training, distinct + (n_training > 0)
     below = np.log10(total + ADD * (distinct + 1))
     model, number, log_rare = counted(raw, end, size, n_classes)
-    # a small corpus is read several times over
-    fit(model, raw, number, there, first_windows, 2 if there > least_windows else 4)
+    fit(model, raw, number, there, first_windows, 4)
     top = {r["word"]: r["c"] for r in frequent(counts, "c", broadcast_words).collect()}
     known = spark.sparkContext.broadcast((model, number, log_rare / np.log(10), {w: float(np.log10(c + ADD) - below) for w, c in top.items()}))
 

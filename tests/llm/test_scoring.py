@@ -229,3 +229,10 @@ def test_windows_drawn():
     draw = scoring._draw(scoring._draw(keys, np.zeros(400, np.int64)).repeat(50), np.tile(np.arange(50), 400))
     assert (draw >= 0).all() and (draw < 1 << 32).all() and abs((draw < 1 << 28).mean() - 1 / 16) < 0.01
     assert len(np.unique(draw)) > 19990
+
+
+def test_no_switch_by_size(odd):
+    """A corpus above and one below what was a bound learn alike."""
+    docs, rule = odd, F.lit(True)
+    got = [sorted((r["doc_id"] or "", r["score"]) for r in scoring.score(docs, PATH, rule, **SMALL | {"least_windows": least}).select(F.col("doc_id").cast("string"), "score").collect()) for least in (1, 10**9)]
+    assert got[0] == got[1]
