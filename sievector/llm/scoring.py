@@ -14,6 +14,7 @@ repeat are scored each for itself; a null key counts as the empty text when the
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievector.llm.attention import Adam, Counts, Model, windows
+from sievector.llm.attention import BEFORE, SPAN, Adam, Counts, Model, windows
 from sievector.llm.batches import arrow_map, pieces
 from sievector.llm.subwords import REMEMBERED, Vocabulary, frequent
 from sievector.llm.words import Coder, Words, words
@@ -34,6 +35,8 @@ ADD = 0.1
 PIECE = 1 << 19
 #: Text bytes in a window of new ids, about; weights in a row of their table; tasks whose weights one task adds up.
 BYTES, BLOCK, FAN = 80, 1 << 14, 64
+#: Windows of a stored row, and of a step; rows made into windows at once; groups of the model's classes.
+TOGETHER, STEP, AT_ONCE, GROUPS = 8, 512, 1280, 8
 
 _CODERS: dict[str, Coder] = {}
 
@@ -59,10 +62,11 @@ def _draw(keys: np.ndarray, nth: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(32)).astype(np.int64)
 
 
-def gather(training: DataFrame, path: str, shared, end: int, share: float) -> DataFrame:
-    """Staged partial counts of a task, and windows: (word, n), (pair, n) and (window, draw), other columns null.
+def gather(training: DataFrame, path: str, shared, end: int, share: float, first: float) -> DataFrame:
+    """Staged partial counts of a task, and windows: (word, n), (pair, n), (window) and (window, draw), other columns null.
 
-    A pair is the earlier id times 2 ** 20 plus the later; a window is 16-bit raw ids."""
+    A pair is the earlier id times 2 ** 20 plus the later; a window is 16-bit raw ids.  Rows without a draw hold up to ``TOGETHER``
+    windows each, together all whose draw is within ``share``; those within ``first`` as well stand once more, each with its draw."""
 
     def rows(**columns: pa.Array) -> pa.RecordBatch:
         n = len(next(iter(columns.values())))
@@ -93,8 +97,11 @@ def gather(training: DataFrame, path: str, shared, end: int, share: float) -> Da
             own = np.flatnonzero(draw < share * (1 << 32))
             if len(own):
                 data = np.ascontiguousarray(got[own].astype("<u2"))
-                kept = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * data.shape[1]), len(own), [None, pa.py_buffer(data)])
-                yield rows(window=kept, draw=pa.array(draw[own]))
+                ends = np.append(np.arange(0, len(own), TOGETHER), len(own)) * 2 * data.shape[1]
+                yield rows(window=pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)]))
+                early = np.flatnonzero(draw[own] < first * (1 << 32))
+                if len(early):
+                    yield rows(window=pa.array([x.tobytes() for x in data[early]], pa.binary()), draw=pa.array(draw[own[early]]))
             if len(seen) > REMEMBERED or len(pairs) > 16:
                 yield from flush()
         yield from flush()
@@ -105,7 +112,7 @@ def gather(training: DataFrame, path: str, shared, end: int, share: float) -> Da
 def _rows(column: pa.Array, number: np.ndarray) -> np.ndarray:
     """Windows of model numbers from stored windows of raw ids."""
     raw = np.frombuffer(b"".join(column.to_pylist()), "<u2")
-    return number.take(raw).reshape(len(column), -1)
+    return number.take(raw).reshape(-1, BEFORE + SPAN + 1)
 
 
 def counted(raw: DataFrame, end: int, size: int, n_classes: int) -> tuple[Model, np.ndarray, np.ndarray]:
@@ -132,18 +139,17 @@ def counted(raw: DataFrame, end: int, size: int, n_classes: int) -> tuple[Model,
     got = sides.groupBy(place.alias("place")).agg(F.sum("n").cast("float").alias("n")).toArrow()
     table = np.zeros((size + 2) ** 2)
     table[got["place"].to_numpy()] = got["n"].to_numpy()
-    return Model(Counts.from_pairs(table.reshape(size + 2, size + 2), n_classes)), number, log_rare
+    return Model(Counts.from_pairs(table.reshape(size + 2, size + 2), n_classes, groups=math.gcd(n_classes, GROUPS))), number, log_rare
 
 
-def fit(model: Model, raw: DataFrame, number: np.ndarray, expected: float, first_windows: int, epochs: int, rate: float = 0.01) -> None:
+def fit(model: Model, raw: DataFrame, number: np.ndarray, first_windows: int, epochs: int, rate: float = 0.03) -> None:
     """Weights from ``first_windows`` windows on the driver, then from all windows by all tasks, averaged by how many each had.
 
     Tasks send their weights in blocks; blocks are added up as they stream through tasks that hold one sum a block."""
     spark = raw.sparkSession
     stored = raw.where("window is not null").select("window", "draw")
-    # of more windows than are wanted, those of least draw; the cut leaves tasks little to send
-    some = stored.where(F.col("draw") < int(min(1.0, 2 * first_windows / max(1.0, expected)) * (1 << 32)))
-    first = [r["window"] for r in some.orderBy("draw", "window").limit(first_windows).collect()]
+    # of more windows than are wanted, those of least draw
+    first = [r["window"] for r in stored.where("draw is not null").orderBy("draw", "window").limit(first_windows).collect()]
     if not first:
         return
     model.train(_rows(pa.array(first, pa.binary()), number), epochs)
@@ -155,10 +161,11 @@ def fit(model: Model, raw: DataFrame, number: np.ndarray, expected: float, first
         model, number = shared.value
         adam, seen, rng = Adam(copy.deepcopy(model)), 0, np.random.default_rng(4)
         for batch in batches:
-            rows = rng.permutation(_rows(batch.column(0), number))
-            for at in range(0, len(rows), 64):
-                adam.step(rows[at : at + 64], rate)
-            seen += len(rows)
+            for begin in range(0, batch.num_rows, AT_ONCE):
+                rows = rng.permutation(_rows(batch.column(0).slice(begin, AT_ONCE), number))
+                for at in range(0, len(rows), STEP):
+                    adam.step(rows[at : at + STEP], rate)
+                seen += len(rows)
         if seen:
             line = adam.model.flat().astype(np.float64) * seen
             parts = [line[at : at + BLOCK].tobytes() for at in range(0, len(line), BLOCK)]
@@ -175,7 +182,7 @@ def fit(model: Model, raw: DataFrame, number: np.ndarray, expected: float, first
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([s.tobytes() for _, s in held.values()], pa.binary())], ["block", "n", "sums"])
 
     kind = "block int, n long, sums binary"
-    own = stored.select("window")
+    own = stored.where("draw is null").select("window")
     learned, tasks, blocks = arrow_map(own, learn, kind), own.rdd.getNumPartitions(), -(-len(model.flat()) // BLOCK)
     while tasks > FAN:  # a tree of sums: a task never reads more than the rows of FAN tasks
         tasks = -(-tasks // FAN)
@@ -218,14 +225,15 @@ def score(
     rows = docs.select(F.col(key).alias("key"), F.coalesce("text", F.lit("")).alias("text"), training.alias("training"))
     learned = rows.where("training")
     n_training, n_bytes = learned.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    there = n_training + n_bytes / BYTES
-    raw = gather(learned, vocabulary_path, shared, end, share)
+    # so many windows have twice as small a draw as are wanted first, about; the cut leaves tasks little to send
+    first = min(1.0, 2 * first_windows / max(1.0, n_training + n_bytes / BYTES))
+    raw = gather(learned, vocabulary_path, shared, end, share, first)
     counts = stage(raw.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = total + n_training, distinct + (n_training > 0)
     below = np.log10(total + ADD * (distinct + 1))
     model, number, log_rare = counted(raw, end, size, n_classes)
-    fit(model, raw, number, there, first_windows, 4)
+    fit(model, raw, number, first_windows, 4)
     top = {r["word"]: r["c"] for r in frequent(counts, "c", broadcast_words).collect()}
     known = spark.sparkContext.broadcast((model, number, log_rare / np.log(10), {w: float(np.log10(c + ADD) - below) for w, c in top.items()}))
 

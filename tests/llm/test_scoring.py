@@ -236,3 +236,84 @@ def test_no_switch_by_size(odd):
     docs, rule = odd, F.lit(True)
     got = [sorted((r["doc_id"] or "", r["score"]) for r in scoring.score(docs, PATH, rule, **SMALL | {"least_windows": least}).select(F.col("doc_id").cast("string"), "score").collect()) for least in (1, 10**9)]
     assert got[0] == got[1]
+
+
+def grouped(seed, spread=0.4):
+    """A model of 13 ids in six classes, which stand in two groups, with any weights."""
+    rng = np.random.default_rng(seed)
+    m = attention.Model(attention.Counts.from_pairs(rng.integers(0, 50, (IDS, IDS)).astype(float), 6, groups=2))
+    m.weights = {k: rng.normal(0, spread, w.shape).astype(np.float32) for k, w in m.weights.items()}
+    return m
+
+
+@pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 100])
+def test_groups_by_hand(n):
+    """Of two levels of output: the group's probability, by plain loops, times the class's by a model of this group alone."""
+    m, flat = grouped(1), grouped(1)
+    ids = np.random.default_rng(n).integers(0, END, n)
+    # a model of one level whose classes are all six, with the arguments of the power that the group of the goal has
+    line, power, want = [END, *ids.tolist(), END], attention.POWER, np.zeros(n + 1)
+    held = {}
+    rows = cut([ids])[0]
+    flat._forward(rows, held)
+    for i, h in enumerate(held["h"][: n + 1].astype(float)):
+        last, goal = line[i], line[i + 1]
+        aim = m.classes[goal]
+        of_group = [min(max(float(m.root_group[last, g]) + float(h @ m.weights["out_group"][:, g]) / power, attention.LEAST), attention.MOST) ** power for g in range(2)]
+        group = aim // 3
+        of_class = [min(max(float(m.root[last, c]) + float(h @ m.weights["out"][:, c]) / power, attention.LEAST), attention.MOST) ** power for c in range(3 * group, 3 * group + 3)]
+        want[i] = math.log(of_group[group] / sum(of_group)) + math.log(of_class[aim - 3 * group] / sum(of_class)) + m.log_id[last, goal]
+    assert np.allclose(m.log_probabilities(rows).ravel()[: n + 1], want, atol=1e-3)
+
+
+def test_groups_sum_to_one():
+    m = grouped(2)
+    context = np.random.default_rng(2).integers(0, END, 40)
+    for n in (0, 17, 32):
+        last = [m.log_probabilities(cut([np.append(context[:n], x)])[0]).ravel()[n] for x in range(END)]
+        assert abs(np.exp(last).sum() + np.exp(m.log_probabilities(cut([context[:n]])[0]).ravel()[n]) - 1) < 1e-3
+
+
+def test_groups_untrained_is_the_counts():
+    pairs = np.random.default_rng(0).integers(0, 50, (IDS, IDS)).astype(float)
+    flat, two = (attention.Model(attention.Counts.from_pairs(pairs, 6, groups=g)) for g in (1, 2))
+    rows = cut([np.random.default_rng(1).integers(0, END, 40)])[0]
+    assert np.allclose(flat.log_probabilities(rows), two.log_probabilities(rows), atol=1e-3)
+
+
+def test_gradients_of_groups():
+    """Against differences of the loss."""
+    m = grouped(5, 0.3)
+    m.weights = {k: w.astype(np.float64) for k, w in m.weights.items()}
+    rng = np.random.default_rng(6)
+    rows = cut([rng.integers(0, END, n) for n in (40, 3, 70)])[0]
+    real = (rows[:, attention.BEFORE + 1 :] != FILLER).sum()
+    whole, by_id = m.gradients(rows)
+    for name, where, grad in by_id:
+        whole[name] = np.zeros(m.weights[name].shape)
+        np.add.at(whole[name], where.ravel(), grad.reshape(-1, whole[name].shape[1]))
+    assert set(whole) == set(m.weights)
+    for name, g in whole.items():
+        w = m.weights[name].reshape(-1)
+        for at in rng.integers(0, g.size, 6):
+            kept, losses = w[at], []
+            for step in (0.02, -0.02):
+                w[at] = kept + step
+                losses.append(-m.log_probabilities(rows).sum(dtype=np.float64) / real)
+            w[at] = kept
+            assert abs((losses[0] - losses[1]) / 0.04 - g.reshape(-1)[at]) < 0.004, name
+
+
+def test_every_window_is_stored(documents):
+    """Rows hold several windows each; together they are all windows of the training texts."""
+    spark, vocabulary = documents.sparkSession, Vocabulary.load(PATH)
+    end, some = len(vocabulary.tokens), documents.select("text", F.col("doc_id").alias("key")).limit(60)
+    raw = scoring.gather(some, PATH, spark.sparkContext.broadcast((vocabulary.tokens, vocabulary.special)), end, 1.0, 0.0)
+    stored = [bytes(r["window"]) for r in raw.where("window is not null AND draw is null").select("window").collect()]
+    coder, want = Coder(vocabulary.tokens, vocabulary.special), collections.Counter()
+    for r in some.collect():
+        ids, sizes = scoring._ended(*coder.ids(word_batch(pa.array([r["text"]], pa.string()))), end)
+        want.update(x.tobytes() for x in attention.windows(ids, sizes, end, end + 1)[0].astype("<u2"))
+    size = 2 * (attention.BEFORE + attention.SPAN + 1)
+    assert collections.Counter(x[at : at + size] for x in stored for at in range(0, len(x), size)) == want
+    assert len(stored) < want.total() / 4
